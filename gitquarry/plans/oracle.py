@@ -107,3 +107,49 @@ def developer_activity(fmt: str, bugfix_only: bool, volume: bool = False) -> str
 SELECT coalesce(a.d, b.d) AS "Date", coalesce(a.id, b.id) AS "ID",
        a.comments, a.messages, b.commits, b.bug_fix
 FROM join1 a FULL OUTER JOIN join2 b ON a.d = b.d AND a.id = b.id"""
+
+
+def _inducing_pairs(match: str) -> str:
+    """Brute force in the reference's shape: self-join every fix hunk with
+    every earlier commit on its file, then a per-fix fold."""
+    if match == "per_hunk":
+        bound = "old_start + old_lines"
+        anchor_cte = ""
+        anchor_join = ""
+    else:
+        bound = """CASE WHEN a_fa IS NULL OR file_action_id < a_fa
+                        OR (file_action_id = a_fa AND old_start < a_os)
+                        OR (file_action_id = a_fa AND old_start = a_os AND old_lines < a_ol)
+                   THEN old_start + old_lines ELSE a_os + a_ol END"""
+        anchor_cte = """
+, anchor AS (SELECT commit_id, file_action_id AS a_fa, old_start AS a_os, old_lines AS a_ol
+             FROM (SELECT *, row_number() OVER (PARTITION BY commit_id
+                                                ORDER BY file_action_id, old_start, old_lines) AS rn
+                   FROM j WHERE old_start <> -1) WHERE rn = 1)"""
+        anchor_join = "LEFT JOIN anchor USING (commit_id)"
+    return _with(COMMIT_CTE, FILE_ACTION_CTE) + f"""
+, c AS (SELECT _id AS commit_id, committer_date AS cdate,
+               regexp_matches(message, '{BUGFIX_RE}') AS bugfix FROM commit_t)
+, r AS (SELECT c.commit_id, c.cdate, c.bugfix, h.file_action_id, fa.file_id,
+               h.new_start, h.old_start, h.old_lines
+        FROM hunk_t h JOIN fa_t fa ON h.file_action_id = fa._id JOIN c ON fa.commit_id = c.commit_id)
+, j AS (SELECT f.commit_id, f.cdate, f.file_action_id, f.file_id, f.old_start, f.old_lines,
+               o.commit_id AS other_commit_id, o.cdate AS other_date, o.new_start AS other_new_start
+        FROM r f JOIN r o ON f.file_id = o.file_id AND f.cdate > o.cdate
+        WHERE f.bugfix){anchor_cte}
+, t AS (SELECT j.*, {bound} AS bound FROM j {anchor_join})
+, best AS (SELECT commit_id, other_commit_id,
+                  row_number() OVER (PARTITION BY commit_id ORDER BY other_date DESC, other_commit_id) AS rn
+           FROM t WHERE other_new_start <= bound)
+, fixes AS (SELECT DISTINCT commit_id FROM j)
+, pairs AS (SELECT fixes.commit_id AS fix_commit_id, best.other_commit_id AS inducing_commit_id
+            FROM fixes LEFT JOIN best ON fixes.commit_id = best.commit_id AND best.rn = 1)
+"""
+
+
+def bug_inducing_pairs(match: str) -> str:
+    return _inducing_pairs(match) + "SELECT * FROM pairs"
+
+
+def bug_inducing(match: str) -> str:
+    return _inducing_pairs(match) + "SELECT DISTINCT inducing_commit_id AS commit_id FROM pairs"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gitquarry.operators import activity, labels
+from gitquarry.operators import activity, inducing, labels
 from gitquarry.plans import oracle
 from gitquarry.sources import adapters
 from gitquarry.sources.adapters import RepoTables
@@ -50,6 +50,27 @@ def q_developer_activity_monthly(spark: SparkSession, root: str) -> DataFrame:
         adapters.volume_commits(t.t("lineitem")), "yyyy-MM")
 
 
+def _inducing_inputs(spark, root):
+    t = RepoTables(spark, root)
+    return t.commits(), t.file_actions(), t.hunks()
+
+
+def q_bug_inducing(spark: SparkSession, root: str) -> DataFrame:
+    return inducing.bug_inducing(*_inducing_inputs(spark, root), match="first_hunk")
+
+
+def q_bug_inducing_per_hunk(spark: SparkSession, root: str) -> DataFrame:
+    return inducing.bug_inducing(*_inducing_inputs(spark, root), match="per_hunk")
+
+
+def q_bug_inducing_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return inducing.fix_to_inducing(*_inducing_inputs(spark, root), match="first_hunk")
+
+
+def q_bug_inducing_pairs_per_hunk(spark: SparkSession, root: str) -> DataFrame:
+    return inducing.fix_to_inducing(*_inducing_inputs(spark, root), match="per_hunk")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bugfix_labels": q_bugfix_labels,
     "bugfix_labels_project": q_bugfix_labels_project,
@@ -57,6 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "developer_activity": q_developer_activity,
     "developer_activity_fixes_only": q_developer_activity_fixes_only,
     "developer_activity_monthly": q_developer_activity_monthly,
+    "bug_inducing": q_bug_inducing,
+    "bug_inducing_per_hunk": q_bug_inducing_per_hunk,
+    "bug_inducing_pairs": q_bug_inducing_pairs,
+    "bug_inducing_pairs_per_hunk": q_bug_inducing_pairs_per_hunk,
 }
 
 ORACLE: dict[str, str] = {
@@ -66,4 +91,8 @@ ORACLE: dict[str, str] = {
     "developer_activity": oracle.developer_activity("%Y-%m-%d", False),
     "developer_activity_fixes_only": oracle.developer_activity("%Y-%m-%d", True),
     "developer_activity_monthly": oracle.developer_activity("%Y-%m", False, volume=True),
+    "bug_inducing": oracle.bug_inducing("first_hunk"),
+    "bug_inducing_per_hunk": oracle.bug_inducing("per_hunk"),
+    "bug_inducing_pairs": oracle.bug_inducing_pairs("first_hunk"),
+    "bug_inducing_pairs_per_hunk": oracle.bug_inducing_pairs("per_hunk"),
 }
