@@ -153,3 +153,172 @@ def bug_inducing_pairs(match: str) -> str:
 
 def bug_inducing(match: str) -> str:
     return _inducing_pairs(match) + "SELECT DISTINCT inducing_commit_id AS commit_id FROM pairs"
+
+
+# ---------------------------------------------------------------- identity
+PEOPLE_CTE = """
+people_t AS (
+  SELECT doc_id AS _id,
+         CASE WHEN doc_id % 41 = 0 THEN NULL
+              ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END AS name,
+         CASE WHEN doc_id % 17 = 0 THEN split_part(text, ' ', 3)
+              ELSE split_part(text, ' ', 3) || '@example.org' END AS email
+  FROM documents),
+persons AS (
+  SELECT * FROM (
+    SELECT lower(regexp_replace(split_part(email, '@', 1), '[^a-zA-Z]', '', 'g')) AS "Prefix",
+           lower(regexp_replace(split_part(name, ' ', 1), '[^a-zA-Z]', '', 'g')) AS "Firstname",
+           lower(regexp_replace(split_part(rtrim(name, ' '), ' ', -1), '[^a-zA-Z]', '', 'g')) AS "Lastname"
+    FROM people_t)
+  WHERE "Prefix" IS NOT NULL AND "Firstname" IS NOT NULL AND "Lastname" IS NOT NULL)"""
+
+_L = ['"Prefix"', '"Firstname"', '"Lastname"']
+_R = ['"Prefix_1"', '"Firstname_1"', '"Lastname_1"']
+
+
+def _self_join(eq: tuple) -> str:
+    """One of the reference's blocking joins: eq[i] is True for equal,
+    False for NOT equal on Prefix, Firstname, Lastname."""
+    conds = [f"a.{c} = b.{c}" if e else f"NOT (a.{c} = b.{c})" for c, e in zip(_L, eq)]
+    return (f"SELECT a.\"Prefix\", a.\"Firstname\", a.\"Lastname\", b.\"Prefix\" AS \"Prefix_1\", "
+            f"b.\"Firstname\" AS \"Firstname_1\", b.\"Lastname\" AS \"Lastname_1\" "
+            f"FROM persons a JOIN persons b ON {' AND '.join(conds)}")
+
+
+def pairs_cte(mode: str) -> str:
+    masks = [(False, True, True), (True, False, True), (True, True, False)]
+    if mode == "one_or_two":
+        masks += [(False, False, True), (True, False, False), (False, True, False)]
+    body = "\n  UNION ALL ".join(_self_join(m) for m in masks)
+    return f"\ncand AS (SELECT DISTINCT * FROM (\n  {body}))"
+
+
+def people_normalized() -> str:
+    return _with(PEOPLE_CTE) + "SELECT * FROM persons"
+
+
+def candidate_pairs(mode: str) -> str:
+    return _with(PEOPLE_CTE, pairs_cte(mode)) + "SELECT * FROM cand"
+
+
+def jw_sql(a: str, b: str) -> str:
+    """Jaro-Winkler as the JVM string library computes it, in DuckDB SQL."""
+    j = f"jaro_similarity({a}, {b})"
+    lcp = (f"len(list_filter(range(1, least(length({a}), length({b})) + 1), "
+           f"lambda i: left({a}, i) = left({b}, i)))")
+    boost = (f"({j} + ((least(0.1::DOUBLE, 1.0::DOUBLE / greatest(length({a}), length({b}))) "
+             f"* {lcp}) * (1.0::DOUBLE - {j})))")
+    jw = f"(CASE WHEN {j} < 0.7 THEN {j} ELSE {boost} END)"
+    return (f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE "
+            f"ELSE floor({jw} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE END)")
+
+
+def _k_sql(a: str, b: str) -> str:
+    return (f"coalesce(list_sum([least(length({a}) - length(replace({a}, ch, '')), "
+            f"length({b}) - length(replace({b}, ch, ''))) "
+            f"for ch in list_distinct(string_split({a}, ''))]), 0)")
+
+
+def jaccard_sql(a: str, b: str, rounded: bool) -> str:
+    k = _k_sql(a, b)
+    n = f"(length({a}) + length({b}) - {k})"
+    if rounded:
+        return (f"(CASE WHEN {n} = 0 THEN NULL ELSE "
+                f"floor((200 * {k} + {n}) / (2 * {n})) / 100.0::DOUBLE END)")
+    return f"(CAST({k} AS DOUBLE) / NULLIF(CAST({n} AS DOUBLE), 0))"
+
+
+def edit_ratio_sql(a: str, b: str) -> str:
+    m = f"greatest(length({a}), length({b}))"
+    return f"(CAST({m} - levenshtein({a}, {b}) AS DOUBLE) / NULLIF(CAST({m} AS DOUBLE), 0))"
+
+
+_SHORT = {'"Prefix"': "P", '"Firstname"': "F", '"Lastname"': "L"}
+
+
+def feature_exprs(kind: str) -> list[str]:
+    same = list(zip(_L, _R))
+    all_to_all = [(a, b) for a in _L for b in _R]
+    out = []
+    if kind == "simple":
+        out += [f"{jw_sql(a, b)} AS f{i + 1}" for i, (a, b) in enumerate(same)]
+        out += [f"{jaccard_sql(a, b, False)} AS f{i + 4}" for i, (a, b) in enumerate(same)]
+        out += [f"{edit_ratio_sql(a, b)} AS f{i + 7}" for i, (a, b) in enumerate(same)]
+    elif kind == "broad":
+        out += [f"{jw_sql(a, b)} AS f{i + 1}" for i, (a, b) in enumerate(all_to_all[:6])]
+        out += [f"{edit_ratio_sql(a, b)} AS f{i + 7}" for i, (a, b) in enumerate(same)]
+        for a, b in all_to_all:
+            name = _SHORT[a] + _SHORT[b.replace("_1", "")]
+            out.append(f"{jaccard_sql(a, b, True)} AS \"{name}-Jaccard\"")
+    else:
+        out += [f"{jw_sql(a, b)} AS f{i + 1}" for i, (a, b) in enumerate(all_to_all)]
+        P, Fn, L = _L
+        P1, F1, L1 = _R
+        rules = [f"{P1} = {Fn} || {L}", f"{P} = {F1} || {L1}", f"{P1} = {L} || {Fn}",
+                 f"{P} = {L1} || {F1}", f"{L1} || {F1} = {L} || {Fn}",
+                 f"{L1} || {F1} = {Fn} || {L}", f"{L} || {Fn} = {F1} || {L1}"]
+        out += [f"({r}) AS c{i + 1}" for i, r in enumerate(rules)]
+    return out
+
+
+def features_cte(kind: str, source: str = "cand", name: str = "feat") -> str:
+    cols = ", ".join(_L + _R)
+    extra = ", \"Label\"" if source != "cand" else ""
+    return (f"\n{name} AS (SELECT {cols}{extra}, {', '.join(feature_exprs(kind))} FROM {source} "
+            f"WHERE {' AND '.join(c + ' IS NOT NULL' for c in _L + _R)} "
+            f"AND \"Prefix\" NOT LIKE '%log%' AND \"Prefix\" NOT LIKE '%list%' "
+            f"AND \"Prefix\" NOT LIKE '%user%')")
+
+
+def pair_features(kind: str, mode: str = "one_or_two") -> str:
+    return _with(PEOPLE_CTE, pairs_cte(mode), features_cte(kind)) + "SELECT * FROM feat"
+
+
+LABEL_SQL = """
+labelled AS (SELECT "Prefix", "Firstname", "Lastname", "Prefix_1", "Firstname_1", "Lastname_1",
+  CASE WHEN c1 OR c2 OR c3 OR c4 OR c5 OR c6 OR c7 OR (f5 >= 0.9 AND f9 >= 0.9) THEN 'T'
+       WHEN greatest(f1, f5, f9) < 0.7 THEN 'F' ELSE 'U' END AS "Label" FROM feat)"""
+
+
+def labelled_pairs() -> str:
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), features_cte("rules"), LABEL_SQL) + \
+        "SELECT * FROM labelled"
+
+
+def hash_unit_sql(cols: list[str], seed: int, digits: int = 8) -> str:
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols) + \
+        f", '{seed}')"
+    h = f"md5({text})"
+    terms = [f"(instr('0123456789abcdef', substr({h}, {i + 1}, 1)) - 1) * {16 ** (digits - i - 1)}"
+             for i in range(digits)]
+    return f"(CAST({' + '.join(terms)} AS DOUBLE) / {float(16 ** digits)})"
+
+
+def labelling_sample(mode: str, fraction: float, seed: int) -> str:
+    u = hash_unit_sql(_L + _R, seed)
+    return _with(PEOPLE_CTE, pairs_cte(mode)) + f"SELECT * FROM cand WHERE {u} >= 0 AND {u} < {fraction}"
+
+
+def balanced_sample(per_label: int, seed: int) -> str:
+    u = hash_unit_sql(_L + _R + ['"Label"'], seed)
+    cols = ", ".join(_L + _R)
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), features_cte("rules"), LABEL_SQL) + f"""
+SELECT {cols}, "Label" FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Label" ORDER BY {u}, {cols}, "Label") AS rn
+  FROM labelled) WHERE rn <= {per_label}"""
+
+
+def rule_confusion() -> str:
+    """A6 on a rule prediction from the simple features against the rule labels."""
+    feat_simple = features_cte("simple", name="fs")
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), features_cte("rules"), LABEL_SQL,
+                 feat_simple) + """
+, pred AS (
+  SELECT l."Label", CASE WHEN s.f2 >= 0.85 AND s.f3 >= 0.85 THEN 'T'
+                         WHEN greatest(s.f4, s.f5, s.f6) < 0.5 THEN 'F' ELSE 'U' END AS "predictedLabel"
+  FROM labelled l JOIN fs s USING ("Prefix", "Firstname", "Lastname", "Prefix_1", "Firstname_1", "Lastname_1"))
+, grid AS (SELECT p AS "predictedLabel", l AS "Label"
+           FROM (VALUES ('T'), ('F'), ('U')) a(p), (VALUES ('T'), ('F'), ('U')) b(l))
+SELECT g."predictedLabel", g."Label", coalesce(c.n, 0) AS n
+FROM grid g LEFT JOIN (SELECT "predictedLabel", "Label", count(*) AS n FROM pred GROUP BY 1, 2) c
+  USING ("predictedLabel", "Label")"""

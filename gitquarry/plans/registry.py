@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gitquarry.operators import activity, inducing, labels
+from gitquarry.operators import activity, identity, inducing, labels, models, sampling
 from gitquarry.plans import oracle
 from gitquarry.sources import adapters
 from gitquarry.sources.adapters import RepoTables
@@ -71,6 +71,105 @@ def q_bug_inducing_pairs_per_hunk(spark: SparkSession, root: str) -> DataFrame:
     return inducing.fix_to_inducing(*_inducing_inputs(spark, root), match="per_hunk")
 
 
+SAMPLE_SEED = 500
+BALANCE_SEED = 7
+PER_LABEL = 150
+
+
+def _persons(spark, root):
+    return identity.normalize_people(RepoTables(spark, root).people())
+
+
+def q_people_normalized(spark: SparkSession, root: str) -> DataFrame:
+    return _persons(spark, root)
+
+
+def q_candidate_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return identity.candidate_pairs(_persons(spark, root), "two_of_three")
+
+
+def q_candidate_pairs_broad(spark: SparkSession, root: str) -> DataFrame:
+    return identity.candidate_pairs(_persons(spark, root), "one_or_two")
+
+
+def _features(spark, root, kind):
+    return identity.pair_features(identity.candidate_pairs(_persons(spark, root), "one_or_two"), kind)
+
+
+def q_pair_features_simple(spark: SparkSession, root: str) -> DataFrame:
+    return _features(spark, root, "simple")
+
+
+def q_pair_features_broad(spark: SparkSession, root: str) -> DataFrame:
+    return _features(spark, root, "broad")
+
+
+def q_pair_features_rules(spark: SparkSession, root: str) -> DataFrame:
+    return _features(spark, root, "rules")
+
+
+def _labelled(spark, root):
+    return models.rule_label(_features(spark, root, "rules"))
+
+
+def q_labelled_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return _labelled(spark, root)
+
+
+def q_labelling_sample(spark: SparkSession, root: str) -> DataFrame:
+    pairs = identity.candidate_pairs(_persons(spark, root), "one_or_two")
+    return sampling.random_split(pairs, [0.1, 0.9], SAMPLE_SEED)[0]
+
+
+def q_balanced_sample(spark: SparkSession, root: str) -> DataFrame:
+    return sampling.balanced_sample(_labelled(spark, root), "Label", PER_LABEL, BALANCE_SEED)
+
+
+def q_rule_confusion(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    simple = _features(spark, root, "simple")
+    pred = F.when((F.col("f2") >= 0.85) & (F.col("f3") >= 0.85), "T") \
+        .when(F.greatest("f4", "f5", "f6") < 0.5, "F").otherwise("U")
+    scored = _labelled(spark, root).join(simple.select(*identity.PAIR_COLS, pred.alias("predictedLabel")),
+                                         identity.PAIR_COLS)
+    return models.confusion_matrix(scored, ["T", "F", "U"])
+
+
+def _matcher(spark, root, kind, classifier, labels, balanced=False):
+    from pyspark.sql import functions as F
+    lab = _labelled(spark, root)
+    if balanced:
+        lab = sampling.balanced_sample(lab, "Label", PER_LABEL, BALANCE_SEED)
+    lab = lab.where(F.col("Label").isin(*labels))
+    feats = identity.pair_features(lab, kind).na.fill(0.0)
+    seed = 90891
+    return models.train_matcher(feats, identity.FEATURE_ORDER[kind], classifier, seed=seed)
+
+
+def q_matcher_simple_gbt(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "simple", "gbt", ["T", "F"]).confusion
+
+
+def q_matcher_broad_gbt(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "broad", "gbt", ["T", "F"]).confusion
+
+
+def q_matcher_rules_tree(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "rules", "tree", ["T", "F", "U"]).confusion
+
+
+def q_matcher_balanced_tree(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "rules", "tree", ["T", "F", "U"], balanced=True).confusion
+
+
+def q_matcher_rules_errors(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "rules", "tree", ["T", "F", "U"]).misclassified
+
+
+def q_matcher_rules_accuracy(spark: SparkSession, root: str) -> DataFrame:
+    return _matcher(spark, root, "rules", "tree", ["T", "F", "U"]).accuracy
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bugfix_labels": q_bugfix_labels,
     "bugfix_labels_project": q_bugfix_labels_project,
@@ -82,6 +181,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bug_inducing_per_hunk": q_bug_inducing_per_hunk,
     "bug_inducing_pairs": q_bug_inducing_pairs,
     "bug_inducing_pairs_per_hunk": q_bug_inducing_pairs_per_hunk,
+    "people_normalized": q_people_normalized,
+    "candidate_pairs": q_candidate_pairs,
+    "candidate_pairs_broad": q_candidate_pairs_broad,
+    "pair_features_simple": q_pair_features_simple,
+    "pair_features_broad": q_pair_features_broad,
+    "pair_features_rules": q_pair_features_rules,
+    "labelled_pairs": q_labelled_pairs,
+    "labelling_sample": q_labelling_sample,
+    "balanced_sample": q_balanced_sample,
+    "rule_confusion": q_rule_confusion,
+    "matcher_simple_gbt": q_matcher_simple_gbt,
+    "matcher_broad_gbt": q_matcher_broad_gbt,
+    "matcher_rules_tree": q_matcher_rules_tree,
+    "matcher_balanced_tree": q_matcher_balanced_tree,
+    "matcher_rules_errors": q_matcher_rules_errors,
+    "matcher_rules_accuracy": q_matcher_rules_accuracy,
 }
 
 ORACLE: dict[str, str] = {
@@ -95,4 +210,14 @@ ORACLE: dict[str, str] = {
     "bug_inducing_per_hunk": oracle.bug_inducing("per_hunk"),
     "bug_inducing_pairs": oracle.bug_inducing_pairs("first_hunk"),
     "bug_inducing_pairs_per_hunk": oracle.bug_inducing_pairs("per_hunk"),
+    "people_normalized": oracle.people_normalized(),
+    "candidate_pairs": oracle.candidate_pairs("two_of_three"),
+    "candidate_pairs_broad": oracle.candidate_pairs("one_or_two"),
+    "pair_features_simple": oracle.pair_features("simple"),
+    "pair_features_broad": oracle.pair_features("broad"),
+    "pair_features_rules": oracle.pair_features("rules"),
+    "labelled_pairs": oracle.labelled_pairs(),
+    "labelling_sample": oracle.labelling_sample("one_or_two", 0.1, SAMPLE_SEED),
+    "balanced_sample": oracle.balanced_sample(PER_LABEL, BALANCE_SEED),
+    "rule_confusion": oracle.rule_confusion(),
 }
