@@ -322,3 +322,35 @@ def rule_confusion() -> str:
 SELECT g."predictedLabel", g."Label", coalesce(c.n, 0) AS n
 FROM grid g LEFT JOIN (SELECT "predictedLabel", "Label", count(*) AS n FROM pred GROUP BY 1, 2) c
   USING ("predictedLabel", "Label")"""
+
+
+# ---------------------------------------------------------------- entity states
+ENTITY_CTE = """
+ces AS (
+  SELECT l_orderkey * 8 + l_linenumber AS _id, l_orderkey AS commit_id, l_partkey AS file_id,
+         CASE WHEN l_returnflag = 'R' THEN 'class' WHEN l_returnflag = 'A' THEN 'method'
+              ELSE 'file' END AS ce_type,
+         l_extendedprice AS "LOC", l_quantity AS "WMC", l_tax AS "CBO"
+  FROM lineitem)"""
+
+
+def entity_states_logical() -> str:
+    return _with(ENTITY_CTE) + 'SELECT _id, commit_id, file_id, ce_type, "LOC", "WMC", "CBO" FROM ces'
+
+
+def size_regression_coefficients(fraction: float, seed: int, digits: int) -> str:
+    cols = ['CAST("LOC" AS DECIMAL(38,6))', 'CAST("WMC" AS DECIMAL(38,6))',
+            'CAST("CBO" AS DECIMAL(38,6))']
+    u = hash_unit_sql(cols, seed)
+    return _with(ENTITY_CTE) + f"""
+, train AS (SELECT "LOC" AS y, "WMC" AS x1, "CBO" AS x2 FROM ces
+            WHERE ce_type = 'class' AND {u} < {fraction})
+, s AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+               covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y,
+               avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM train)
+, b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+               (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM s)
+SELECT term, round(estimate, {digits}) AS estimate FROM (
+  SELECT '(Intercept)' AS term, my - b1 * m1 - b2 * m2 AS estimate FROM b
+  UNION ALL SELECT 'WMC', b1 FROM b
+  UNION ALL SELECT 'CBO', b2 FROM b)"""

@@ -170,6 +170,39 @@ def q_matcher_rules_accuracy(spark: SparkSession, root: str) -> DataFrame:
     return _matcher(spark, root, "rules", "tree", ["T", "F", "U"]).accuracy
 
 
+def q_entity_states_logical(spark: SparkSession, root: str) -> DataFrame:
+    from gitquarry.sources.catalog import load_logical
+    states = load_logical(RepoTables(spark, root).code_entity_states(), "code_entity_state",
+                          [["RID"], ["AbstractionLevel"], ["ProductMetric", "JavaClass"]])
+    return states.select("_id", "commit_id", "file_id", "ce_type", "metrics.LOC", "metrics.WMC",
+                         "metrics.CBO")
+
+
+def q_defect_prediction(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+    t = RepoTables(spark, root)
+    preds = models.defect_prediction(t.code_entity_states(), t.commits())
+    return preds.select("bugfix", "bugfix_double", "prediction",
+                        vector_to_array("probability")[1].alias("p_bugfix"))
+
+
+GLM_FRACTION, GLM_SEED, GLM_DIGITS = 0.5, 42, 3
+
+
+def q_size_regression_coefficients(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    coef, _ = models.size_regression(RepoTables(spark, root).code_entity_states(),
+                                     fraction=GLM_FRACTION, seed=GLM_SEED)
+    return coef.select("term", F.round("estimate", GLM_DIGITS).alias("estimate"))
+
+
+def q_size_regression_summary(spark: SparkSession, root: str) -> DataFrame:
+    _, preds = models.size_regression(RepoTables(spark, root).code_entity_states(),
+                                      fraction=GLM_FRACTION, seed=GLM_SEED)
+    return models.prediction_summary(preds)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bugfix_labels": q_bugfix_labels,
     "bugfix_labels_project": q_bugfix_labels_project,
@@ -197,6 +230,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "matcher_balanced_tree": q_matcher_balanced_tree,
     "matcher_rules_errors": q_matcher_rules_errors,
     "matcher_rules_accuracy": q_matcher_rules_accuracy,
+    "entity_states_logical": q_entity_states_logical,
+    "defect_prediction": q_defect_prediction,
+    "size_regression_coefficients": q_size_regression_coefficients,
+    "size_regression_summary": q_size_regression_summary,
 }
 
 ORACLE: dict[str, str] = {
@@ -220,4 +257,7 @@ ORACLE: dict[str, str] = {
     "labelling_sample": oracle.labelling_sample("one_or_two", 0.1, SAMPLE_SEED),
     "balanced_sample": oracle.balanced_sample(PER_LABEL, BALANCE_SEED),
     "rule_confusion": oracle.rule_confusion(),
+    "entity_states_logical": oracle.entity_states_logical(),
+    "size_regression_coefficients": oracle.size_regression_coefficients(GLM_FRACTION, GLM_SEED,
+                                                                        GLM_DIGITS),
 }
