@@ -146,7 +146,17 @@ def _jw_series(variant: str):
     fn = _VARIANTS[variant]
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = [None if (x is None or y is None) else fn(x, y) for x, y in zip(a, b)]
+        # blocked pairs repeat the same strings many times within a batch
+        memo: dict = {}
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            v = memo.get((x, y))
+            if v is None:
+                v = memo[(x, y)] = fn(x, y)
+            out.append(v)
         return pd.Series(out, dtype="float64")
     return run
 

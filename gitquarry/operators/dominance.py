@@ -55,7 +55,7 @@ def latest_before_under(queries: DataFrame, preds: DataFrame, key: Sequence[str]
                         bound_col: str, value_col: str, qid: Sequence[str], m_lo: int, m_hi: int,
                         out_col: str = "ans_time",
                         bucket_seconds: float = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Return ``qid`` columns plus ``out_col`` for every query row.
+    """Return every query row (all its columns) plus ``out_col``.
 
     ``queries`` holds ``key``, ``qid``, ``time_col`` and ``bound_col``;
     ``preds`` holds ``key``, ``time_col`` and ``value_col``.  ``m_lo`` /
@@ -101,4 +101,4 @@ def latest_before_under(queries: DataFrame, preds: DataFrame, key: Sequence[str]
         .select(*[F.col(f"q_{c}").alias(c) for c in qid],
                 F.greatest(F.col("run"), F.col("carry")).alias("a")) \
         .groupBy(*qid).agg(F.max("a").alias(out_col))
-    return queries.select(*qid).join(hits, qid, "left")
+    return queries.join(hits, qid, "left")

@@ -50,9 +50,8 @@ def hunk_rows(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
     return h.join(fa, "file_action_id").join(c, "commit_id")
 
 
-def _fix_queries(rows: DataFrame, match: str) -> DataFrame:
+def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFrame:
     """One query per (fix commit, file): its date and widest region end."""
-    first_date = rows.groupBy("file_id").agg(F.min("cdate").alias("first_date"))
     fixes = rows.where(F.col("bugfix") == F.lit(True)) \
         .select("commit_id", "cdate", "file_action_id", "file_id", "old_start", "old_lines") \
         .join(first_date, "file_id").where(F.col("cdate") > F.col("first_date"))
@@ -61,9 +60,10 @@ def _fix_queries(rows: DataFrame, match: str) -> DataFrame:
         bound = own
     else:
         key = F.struct("file_action_id", "old_start", "old_lines")
-        anchors = fixes.where(F.col("old_start") != -1).groupBy("commit_id") \
-            .agg(F.min(key).alias("anchor"))
-        fixes = fixes.join(anchors, "commit_id", "left")
+        # partial aggregate + join, not a window: a huge commit stays split
+        anchors = fixes.groupBy("commit_id") \
+            .agg(F.min(F.when(F.col("old_start") != -1, key)).alias("anchor"))
+        fixes = fixes.join(anchors, "commit_id")
         self_tested = F.col("anchor").isNull() | (key < F.col("anchor"))
         bound = F.when(self_tested, own).otherwise(
             F.col("anchor.old_start") + F.col("anchor.old_lines"))
@@ -79,7 +79,8 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
         raise ValueError(f"match must be one of {MATCH_MODES}")
     rows = hunk_rows(commits, file_actions, hunks, pattern)
     preds = rows.groupBy("file_id", "commit_id", "cdate").agg(F.min("new_start").alias("m"))
-    queries = _fix_queries(rows, match)
+    first_date = preds.groupBy("file_id").agg(F.min("cdate").alias("first_date"))
+    queries = _fix_queries(rows, first_date, match)
 
     # the span of new_start fixes the number of dyadic levels (two scalars)
     lo, hi = hunks.agg(F.min("new_start"), F.max("new_start")).first()
@@ -90,19 +91,20 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
     ans = latest_before_under(queries, preds, key=["file_id"], time_col="cdate",
                               bound_col="bound", value_col="m", qid=["commit_id", "file_id"],
                               m_lo=lo, m_hi=hi, out_col="ans", bucket_seconds=bucket_seconds)
-    ans = ans.join(queries, ["commit_id", "file_id"])
-    best = ans.groupBy("commit_id").agg(F.max("ans").alias("best"))
 
-    # resolve ties on the winning date: lowest predecessor id
-    winners = ans.join(best, "commit_id").where(F.col("ans") == F.col("best")) \
-        .select("commit_id", "file_id", "bound", "best")
+    # every query meets the predecessors of its file on its own answer date
+    # (the one that produced it plus exact ties); then one partial aggregate
+    # per fix keeps the latest date and, among ties, the lowest id
     p = preds.select(F.col("file_id").alias("p_file"), F.col("commit_id").alias("p_commit"),
                      F.col("cdate").alias("p_date"), F.col("m").alias("p_m"))
-    tied = winners.join(p, (F.col("file_id") == F.col("p_file")) & (F.col("best") == F.col("p_date"))
-                        & (F.col("p_m") <= F.col("bound"))) \
-        .groupBy("commit_id").agg(F.min("p_commit").alias("inducing_commit_id"))
-    return best.select("commit_id").join(tied, "commit_id", "left") \
-        .select(F.col("commit_id").alias("fix_commit_id"), "inducing_commit_id")
+    hit = (F.col("file_id") == F.col("p_file")) & (F.col("ans") == F.col("p_date")) \
+        & (F.col("p_m") <= F.col("bound"))
+    later_first = -F.unix_micros(F.col("ans").cast("timestamp"))
+    pick = F.when(F.col("p_commit").isNotNull(), F.struct(later_first.alias("k"), F.col("p_commit")))
+    return ans.join(p, hit, "left").groupBy("commit_id") \
+        .agg(F.min(pick).alias("pick")) \
+        .select(F.col("commit_id").alias("fix_commit_id"),
+                F.col("pick.p_commit").alias("inducing_commit_id"))
 
 
 def bug_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
