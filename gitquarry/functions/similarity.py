@@ -32,20 +32,31 @@ def edit_ratio(a, b) -> Column:
 
 
 # ------------------------------------------------------------ D4 / F12
-def intersect_len(a, b) -> Column:
-    """Size of the multiset intersection of the characters of a and b:
-    for every distinct character of a, the smaller of its two counts."""
-    a, b = _c(a), _c(b)
-    la, lb = F.length(a), F.length(b)
+def sorted_chars(s) -> Column:
+    """The characters of ``s``, sorted."""
+    # sort_array / array_remove are native (array_sort plans a lambda comparator)
+    return F.sort_array(F.array_remove(F.split(_c(s), ""), ""))
 
-    def step(acc, ch):
-        ca = la - F.length(F.replace(a, ch, F.lit("")))
-        cb = lb - F.length(F.replace(b, ch, F.lit("")))
-        return acc + F.least(ca, cb)
 
-    chars = F.array_distinct(F.split(a, ""))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")) \
-        .otherwise(F.aggregate(chars, F.lit(0), step))
+def char_tags(s, chars: Column | None = None) -> Column:
+    """The characters of ``s`` as a set of (character, occurrence) tags:
+    'aab' -> {'a#0', 'a#1', 'b#0'}.  Two tag sets intersect in exactly the
+    multiset intersection of the characters.  ``chars`` should be a column
+    already holding ``sorted_chars(s)``, so the lambda does not sort again
+    for every character."""
+    chars = chars if chars is not None else sorted_chars(s)
+    return F.transform(chars, lambda c, i: F.concat(
+        c, F.lit("#"), (i + 1 - F.array_position(chars, c)).cast("string")))
+
+
+def intersect_len(a, b, tags_a: Column | None = None, tags_b: Column | None = None) -> Column:
+    """Size of the multiset intersection of the characters of a and b
+    (native collection functions; pass precomputed ``char_tags`` to reuse
+    them across comparisons)."""
+    ta = tags_a if tags_a is not None else char_tags(a)
+    tb = tags_b if tags_b is not None else char_tags(b)
+    return F.when(_c(a).isNull() | _c(b).isNull(), F.lit(None).cast("int")) \
+        .otherwise(F.size(F.array_intersect(ta, tb)))
 
 
 def round_half_up_ratio(k: Column, n: Column) -> Column:
@@ -59,10 +70,11 @@ def round_half_up_ratio(k: Column, n: Column) -> Column:
         .otherwise(F.floor(num / den).cast("double") / F.lit(100.0))
 
 
-def multiset_jaccard(a, b, rounded: bool = False) -> Column:
+def multiset_jaccard(a, b, rounded: bool = False, tags_a: Column | None = None,
+                     tags_b: Column | None = None) -> Column:
     """k / (len a + len b - k) with k the multiset intersection size;
     ``rounded`` applies two-decimal half-up rounding."""
-    k = intersect_len(a, b)
+    k = intersect_len(a, b, tags_a, tags_b)
     n = F.length(_c(a)) + F.length(_c(b)) - k
     if rounded:
         return round_half_up_ratio(k, n)
@@ -143,7 +155,12 @@ _VARIANTS = {"lang3": jaro_winkler_lang3, "standard": jaro_winkler_standard}
 
 
 def _jw_series(variant: str):
-    fn = _VARIANTS[variant]
+    base = _VARIANTS[variant]
+
+    def fn(x: str, y: str) -> float:
+        if x == y:  # jaro 1 and no boost left; an empty string has no match
+            return 1.0 if x else 0.0
+        return base(x, y)
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         # blocked pairs repeat the same strings many times within a batch

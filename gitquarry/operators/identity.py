@@ -16,10 +16,10 @@ the first equal column:
 
 So three joins replace six and the final ``distinct`` disappears.  The
 result is by definition every pair inside a block, so its size is what it
-is; what must not happen is one task owning a hot block.  Keys with more
-than ``hot_rows`` triples are salted: the left side is spread over
-``salt_buckets`` buckets by a hash of the row and the right side is
-replicated once per bucket for those keys only.
+is; what must not happen is one task owning a hot block.  Keys whose block
+yields more than ``hot_pairs`` pairs are salted: the left side is spread
+over several buckets by a hash of the row and the right side is replicated
+once per bucket for those keys only.
 """
 
 from __future__ import annotations
@@ -59,30 +59,49 @@ def normalize_people(people: DataFrame, drop_null: bool = True,
 
 
 # ------------------------------------------------------------------ C6
-def _salted_join(t: DataFrame, keys: Sequence[str], residual, hot_rows: int,
-                 salt_buckets: int) -> DataFrame:
-    """Self-join of the triples on ``keys`` plus a residual predicate, with
-    hot keys split over ``salt_buckets`` tasks."""
+def _salted_join(t: DataFrame, keys: Sequence[str], residual, hot_pairs: int,
+                 salt_buckets: int, num_partitions: int) -> DataFrame:
+    """Self-join of the triples on ``keys`` plus a residual predicate.
+
+    A key with n triples yields about n*n pairs; when that exceeds
+    ``hot_pairs`` the key is split over ceil(n*n / hot_pairs) buckets (at
+    most ``salt_buckets``): left rows go to one bucket by row hash, right
+    rows of that key are replicated to every bucket.
+
+    Both sides are hash-partitioned on (keys, salt) into ``num_partitions``
+    explicitly: the join output can be far larger than its input, so the
+    input-size based coalescing of adaptive execution would leave the
+    output (and the per-pair features computed on it) in a few tasks.  The
+    join reuses this partitioning; no further exchange is planned.
+    """
     keys = list(keys)
-    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") > hot_rows).select(*keys, F.lit(salt_buckets).alias("_s"))
-    tt = t.join(hot, keys, "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(1)))
+    n2 = F.col("_n") * F.col("_n")
+    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(n2 > hot_pairs) \
+        .select(*keys, F.least(F.lit(salt_buckets).cast("bigint"),
+                               F.ceil(n2 / F.lit(hot_pairs)).cast("bigint")).alias("_s"))
+    tt = t.join(hot, keys, "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(1).cast("bigint")))
     left = tt.withColumn("_salt", F.pmod(F.xxhash64(*NAME_COLS), F.col("_s"))).drop("_s")
     right = tt.select(*[F.col(c).alias(r) for c, r in zip(NAME_COLS, RIGHT_COLS)],
                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s").cast("bigint") - 1))
                       .alias("_salt_1"))
+    rkeys = [RIGHT_COLS[NAME_COLS.index(k)] for k in keys]
+    left = left.repartition(num_partitions, *keys, "_salt")
+    right = right.repartition(num_partitions, *rkeys, "_salt_1")
     cond = F.col("_salt") == F.col("_salt_1")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(RIGHT_COLS[NAME_COLS.index(k)]))
+    for k, rk in zip(keys, rkeys):
+        cond = cond & (F.col(k) == F.col(rk))
     return left.join(right, cond & residual).select(*PAIR_COLS)
 
 
-def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_rows: int = 10_000,
-                    salt_buckets: int = 64) -> DataFrame:
+def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: int = 1_000_000,
+                    salt_buckets: int = 64, num_partitions: int | None = None) -> DataFrame:
     """J6 / C6 blocking: columns Prefix, Firstname, Lastname, Prefix_1,
-    Firstname_1, Lastname_1.  A null in any column excludes the row."""
+    Firstname_1, Lastname_1.  A null in any column excludes the row.
+    ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``."""
     if mode not in PAIR_MODES:
         raise ValueError(f"mode must be one of {PAIR_MODES}")
+    if num_partitions is None:
+        num_partitions = int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = persons.select(*NAME_COLS).dropna().distinct()
     P, Fn, L = (F.col(c) for c in NAME_COLS)
     P1, F1, L1 = (F.col(c) for c in RIGHT_COLS)
@@ -100,7 +119,7 @@ def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_rows: in
         ]
     out = None
     for keys, residual in parts:
-        j = _salted_join(t, keys, residual, hot_rows, salt_buckets)
+        j = _salted_join(t, keys, residual, hot_pairs, salt_buckets, num_partitions)
         out = j if out is None else out.unionByName(j)
     return out
 
@@ -132,6 +151,12 @@ def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lan
     kept.
     """
     df = _clean_pairs(pairs)
+    tags = {c: F.col(f"_tags_{c}") for c in PAIR_COLS}
+    if kind in ("simple", "broad"):
+        # per string once: sorted characters, then occurrence-tagged sets
+        df = df.withColumns({f"_chars_{c}": S.sorted_chars(c) for c in PAIR_COLS}) \
+            .withColumns({f"_tags_{c}": S.char_tags(c, F.col(f"_chars_{c}")) for c in PAIR_COLS}) \
+            .drop(*[f"_chars_{c}" for c in PAIR_COLS])
     same = list(zip(NAME_COLS, RIGHT_COLS))
     all_to_all = [(a, b) for a in NAME_COLS for b in RIGHT_COLS]
     feats: dict[str, F.Column] = {}
@@ -139,7 +164,7 @@ def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lan
         for i, (a, b) in enumerate(same):
             feats[f"f{i + 1}"] = S.jaro_winkler(a, b, jw_variant)
         for i, (a, b) in enumerate(same):
-            feats[f"f{i + 4}"] = S.multiset_jaccard(a, b)
+            feats[f"f{i + 4}"] = S.multiset_jaccard(a, b, False, tags[a], tags[b])
         for i, (a, b) in enumerate(same):
             feats[f"f{i + 7}"] = S.edit_ratio(a, b)
     elif kind == "broad":
@@ -149,14 +174,14 @@ def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lan
             feats[f"f{i + 7}"] = S.edit_ratio(a, b)
         for a, b in all_to_all:
             name = f"{_SHORT[a]}{_SHORT[b[:-2]]}-Jaccard"
-            feats[name] = S.multiset_jaccard(a, b, rounded=True)
+            feats[name] = S.multiset_jaccard(a, b, True, tags[a], tags[b])
     elif kind == "rules":
         for i, (a, b) in enumerate(all_to_all):
             feats[f"f{i + 1}"] = S.jaro_winkler(a, b, jw_variant)
         feats.update(S.name_order_rules(*PAIR_COLS))
     else:
         raise ValueError("kind must be simple, broad or rules")
-    return df.withColumns(feats)
+    return df.withColumns(feats).drop(*[f"_tags_{c}" for c in PAIR_COLS])
 
 
 FEATURE_ORDER = {
