@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions import similarity as S
+from gitquarry.operators.sampling import random_split
+from gitquarry.sources.catalog import write_csv
 from gitquarry.functions.text import (email_local_part, first_name, last_name, letters_only,
                                       not_denylisted)
 
@@ -124,6 +126,19 @@ def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: i
     return out
 
 
+# ------------------------------------------------------------------ C12
+def label_sample(pairs: DataFrame, path: str, fraction: float = 0.1, seed: int = 500,
+                 mode: str = "errorifexists", single_file: bool = True,
+                 split: str = "hash") -> DataFrame:
+    """U4 + S4: export a share of the candidate pairs as one CSV with header
+    for manual labelling (read it back with ``catalog.read_pairs_csv``).
+    ``mode="ignore"`` keeps an existing file and continues.  Returns the
+    exported sample."""
+    sample = random_split(pairs, [fraction, 1 - fraction], seed, method=split, cols=PAIR_COLS)[0]
+    write_csv(sample, path, mode=mode, single_file=single_file)
+    return sample
+
+
 # ------------------------------------------------------------------ C7-C9
 def _clean_pairs(pairs: DataFrame) -> DataFrame:
     """P9 + P8: six non-null name columns and a left prefix outside the

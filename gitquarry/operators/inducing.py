@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
 from gitquarry.operators.dominance import DEFAULT_BUCKET_SECONDS, latest_before_under
+from gitquarry.session import materialize
 
 MATCH_MODES = ("first_hunk", "per_hunk")
 
@@ -72,13 +73,19 @@ def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFram
 
 def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                     match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                    bucket_seconds: float = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                    bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+                    reuse: str | None = None) -> DataFrame:
     """One row per fix commit that has an earlier commit on one of its
-    files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies)."""
+    files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies).
+
+    ``reuse="checkpoint"`` writes the reduced predecessor table, which the
+    plan reads twice, to the shared checkpoint folder (see
+    ``gitquarry.session.materialize``)."""
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
     rows = hunk_rows(commits, file_actions, hunks, pattern)
     preds = rows.groupBy("file_id", "commit_id", "cdate").agg(F.min("new_start").alias("m"))
+    preds = materialize(preds, reuse)
     first_date = preds.groupBy("file_id").agg(F.min("cdate").alias("first_date"))
     queries = _fix_queries(rows, first_date, match)
 
@@ -109,9 +116,10 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
 
 def bug_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                  match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                 bucket_seconds: float = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                 bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+                 reuse: str | None = None) -> DataFrame:
     """A4: distinct inducing commit ids (a null id survives as one row)."""
-    return fix_to_inducing(commits, file_actions, hunks, match, pattern, bucket_seconds) \
+    return fix_to_inducing(commits, file_actions, hunks, match, pattern, bucket_seconds, reuse) \
         .select(F.col("inducing_commit_id").alias("commit_id")).distinct()
 
 

@@ -354,3 +354,14 @@ SELECT term, round(estimate, {digits}) AS estimate FROM (
   SELECT '(Intercept)' AS term, my - b1 * m1 - b2 * m2 AS estimate FROM b
   UNION ALL SELECT 'WMC', b1 FROM b
   UNION ALL SELECT 'CBO', b2 FROM b)"""
+
+
+def bug_inducing_count(match: str) -> str:
+    return _inducing_pairs(match) + \
+        "SELECT count(*) AS n_inducing FROM (SELECT DISTINCT inducing_commit_id FROM pairs)"
+
+
+def developer_activity_top(fmt: str, n: int) -> str:
+    cols = ['"Date"', '"ID"', "comments", "messages", "commits", "bug_fix"]
+    order = ", ".join(f"{c} NULLS FIRST" for c in cols)
+    return f"SELECT * FROM ({developer_activity(fmt, False)}) ORDER BY {order} LIMIT {n}"

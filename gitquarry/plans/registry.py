@@ -203,6 +203,19 @@ def q_size_regression_summary(spark: SparkSession, root: str) -> DataFrame:
     return models.prediction_summary(preds)
 
 
+def q_bug_inducing_count(spark: SparkSession, root: str) -> DataFrame:
+    return inducing.count_inducing(inducing.bug_inducing(*_inducing_inputs(spark, root)))
+
+
+TOP_N = 100
+
+
+def q_developer_activity_top(spark: SparkSession, root: str) -> DataFrame:
+    from gitquarry.sources.catalog import preview
+    df = q_developer_activity(spark, root)
+    return preview(df, TOP_N, *df.columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bugfix_labels": q_bugfix_labels,
     "bugfix_labels_project": q_bugfix_labels_project,
@@ -234,6 +247,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "defect_prediction": q_defect_prediction,
     "size_regression_coefficients": q_size_regression_coefficients,
     "size_regression_summary": q_size_regression_summary,
+    "bug_inducing_count": q_bug_inducing_count,
+    "developer_activity_top": q_developer_activity_top,
 }
 
 ORACLE: dict[str, str] = {
@@ -260,4 +275,6 @@ ORACLE: dict[str, str] = {
     "entity_states_logical": oracle.entity_states_logical(),
     "size_regression_coefficients": oracle.size_regression_coefficients(GLM_FRACTION, GLM_SEED,
                                                                         GLM_DIGITS),
+    "bug_inducing_count": oracle.bug_inducing_count("first_hunk"),
+    "developer_activity_top": oracle.developer_activity_top("%Y-%m-%d", TOP_N),
 }

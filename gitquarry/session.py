@@ -57,3 +57,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="gitquarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df, how: str | None):
+    """Cut or keep a reused intermediate result.
+
+    ``"checkpoint"`` writes it to the shared folder named by
+    ``spark.checkpoint.dir`` (reliable: survives the loss of executors and
+    cuts the lineage); ``"persist"`` caches it in memory and on local disk
+    (recomputed from lineage if an executor is lost); ``None`` leaves it to
+    Spark's exchange reuse.
+    """
+    if how is None:
+        return df
+    if how == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if how == "persist":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError("how must be None, 'persist' or 'checkpoint'")

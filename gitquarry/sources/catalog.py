@@ -201,3 +201,16 @@ def sql_over(spark: SparkSession, df: DataFrame, view: str, query: str) -> DataF
     """Run SQL text over ``df`` registered as a temporary view."""
     df.createOrReplaceTempView(view)
     return spark.sql(query)
+
+
+def sql_with(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
+    """S7 without a session-wide view: ``{name}`` placeholders in the query
+    are bound to the given DataFrames."""
+    return spark.sql(query, **frames)
+
+
+# ---------------------------------------------------------------- L1
+def preview(df: DataFrame, n: int, *order) -> DataFrame:
+    """L1: the first ``n`` rows in a given order (a top-n, planned as a
+    per-partition top-n and a final merge, not a full sort)."""
+    return df.orderBy(*order).limit(n)

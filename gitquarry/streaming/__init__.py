@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analyses this package reproduces are batch jobs over repository data
+at rest: no stream source or sink, watermark, event-time window or
+stateful operator occurs in them, so this package registers none.  Every
+operator is a plain DataFrame function and therefore also runs on a
+streaming DataFrame wherever Spark allows the same operations (for
+example ``activity.count_per_period`` under ``withWatermark`` and
+``outputMode("update")``).
+"""

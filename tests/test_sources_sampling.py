@@ -67,3 +67,36 @@ def test_balanced_sample_caps_each_label(spark):
     small = balanced_sample(df, "Label", 150, 3, salt_buckets=1)
     big = balanced_sample(df, "Label", 150, 3, salt_buckets=64)
     assert sorted(r.id for r in small.collect()) == sorted(r.id for r in big.collect())
+
+
+def test_new_table_sink_refuses_overwrite(spark, tmp_path):
+    import pytest
+    from gitquarry.sources.catalog import write_new_table
+    df = spark.range(3)
+    out = str(tmp_path / "labels")
+    write_new_table(df, out)
+    with pytest.raises(Exception):
+        write_new_table(df, out)
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_sql_over_and_preview(spark):
+    from gitquarry.sources.catalog import preview, sql_over, sql_with
+    df = spark.createDataFrame([("a", "T", "F"), ("b", "T", "T")], "Prefix string, predictedLabel string, Label string")
+    q = "SELECT Prefix FROM people WHERE predictedLabel != label"
+    assert [r.Prefix for r in sql_over(spark, df, "people", q).collect()] == ["a"]
+    assert sql_with(spark, "SELECT count(*) AS n FROM {p}", p=df).first().n == 2
+    assert [r.id for r in preview(spark.range(50).repartition(5), 3, F.col("id").desc()).collect()] == [49, 48, 47]
+
+
+def test_label_sample_round_trip(spark, tmp_path):
+    from gitquarry.operators.identity import label_sample
+    rows = [(f"p{i}", f"f{i}", "l", f"q{i}", f"f{i}", "l") for i in range(200)]
+    pairs = spark.createDataFrame(rows, "Prefix string, Firstname string, Lastname string, "
+                                  "Prefix_1 string, Firstname_1 string, Lastname_1 string")
+    out = str(tmp_path / "sample")
+    sample = label_sample(pairs, out, fraction=0.5, seed=500)
+    again = label_sample(pairs, out, fraction=0.5, seed=500, mode="ignore")
+    back = read_pairs_csv(spark, out)
+    assert back.count() == sample.count() == again.count()
+    assert back.where(F.col("Label").isNotNull()).count() == 0
