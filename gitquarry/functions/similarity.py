@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,33 +99,41 @@ def name_order_rules(p, f, l, p1, f1, l1) -> dict[str, Column]:
 
 # ------------------------------------------------------------ F13 / D5
 def _jaro_parts(first: str, second: str):
-    """Matches, half transpositions (integer), common prefix, max length;
-    the shorter string is scanned, the longer one flagged."""
+    """Matches, half transpositions (integer), common prefix, max length.
+
+    The shorter string is scanned; each of its characters takes the first
+    unflagged equal character of the longer one inside the window
+    ``max(len(longer) // 2 - 1, 0)``."""
     if len(first) > len(second):
         longer, shorter = first, second
     else:
         longer, shorter = second, first
-    rng = max(len(longer) // 2 - 1, 0)
-    flags = [False] * len(longer)
-    matched = [-1] * len(shorter)
-    m = 0
+    n_long = len(longer)
+    rng = max(n_long // 2 - 1, 0)
+    flags = bytearray(n_long)
+    matched = []
     for i, ch in enumerate(shorter):
-        for j in range(max(i - rng, 0), min(i + rng + 1, len(longer))):
-            if not flags[j] and ch == longer[j]:
-                matched[i] = j
-                flags[j] = True
-                m += 1
-                break
-    s1 = [shorter[i] for i in range(len(shorter)) if matched[i] != -1]
-    s2 = [longer[j] for j in range(len(longer)) if flags[j]]
-    trans = sum(1 for x, y in zip(s1, s2) if x != y)
+        lo = i - rng if i > rng else 0
+        hi = min(i + rng + 1, n_long)
+        j = longer.find(ch, lo, hi)
+        while j != -1 and flags[j]:
+            j = longer.find(ch, j + 1, hi)
+        if j != -1:
+            flags[j] = 1
+            matched.append(ch)
+    trans = 0
+    k = 0
+    for j in range(n_long):
+        if flags[j]:
+            if longer[j] != matched[k]:
+                trans += 1
+            k += 1
     prefix = 0
-    for i in range(len(shorter)):
-        if first[i] == second[i]:
-            prefix += 1
-        else:
+    for x, y in zip(first, second):
+        if x != y:
             break
-    return m, trans // 2, prefix, len(longer)
+        prefix += 1
+    return len(matched), trans // 2, prefix, n_long
 
 
 def jaro_winkler_lang3(first: str, second: str) -> float:
@@ -153,28 +162,111 @@ def jaro_winkler_standard(first: str, second: str) -> float:
 
 _VARIANTS = {"lang3": jaro_winkler_lang3, "standard": jaro_winkler_standard}
 
+# strings longer than this go through the scalar code
+_VECTOR_MAX_LEN = 64
+
+
+def _codes(strs: list, width: int) -> np.ndarray:
+    """Code points of equal-width padded strings as a (rows, width) array."""
+    return np.array(strs, dtype=f"<U{width}").view(np.uint32).reshape(len(strs), width)
+
+
+def _jaro_parts_batch(ca: np.ndarray, cb: np.ndarray, la: np.ndarray, lb: np.ndarray):
+    """Vectorised ``_jaro_parts`` over rows of code-point arrays with
+    lengths ``la`` / ``lb``: the greedy match runs one position of the
+    shorter string at a time across all rows."""
+    n, width = ca.shape
+    first_longer = la > lb
+    lc = np.where(first_longer[:, None], ca, cb)
+    sc = np.where(first_longer[:, None], cb, ca)
+    n_long = np.where(first_longer, la, lb)
+    n_short = np.where(first_longer, lb, la)
+    pos = np.arange(width)
+    rng = np.maximum(n_long // 2 - 1, 0)[:, None]
+    in_long = pos < n_long[:, None]
+    flags = np.zeros((n, width), dtype=bool)
+    smatched = np.zeros((n, width), dtype=bool)
+    rows_all = np.arange(n)
+    for i in range(int(n_short.max(initial=0))):
+        # window max(i - rng, 0) <= j < min(i + rng + 1, n_long)
+        cand = (np.abs(pos - i) <= rng) & in_long & ~flags
+        cand &= (lc == sc[:, i:i + 1]) & (i < n_short)[:, None]
+        has = cand.any(axis=1)
+        j = cand.argmax(axis=1)
+        r = rows_all[has]
+        flags[r, j[has]] = True
+        smatched[r, i] = True
+    m = smatched.sum(axis=1)
+    ms1 = np.zeros((n, width), dtype=np.uint32)
+    ms2 = np.zeros((n, width), dtype=np.uint32)
+    rr, cc = np.nonzero(smatched)
+    ms1[rr, (np.cumsum(smatched, axis=1) - 1)[rr, cc]] = sc[rr, cc]
+    rr, cc = np.nonzero(flags)
+    ms2[rr, (np.cumsum(flags, axis=1) - 1)[rr, cc]] = lc[rr, cc]
+    trans = ((ms1 != ms2) & (pos < m[:, None])).sum(axis=1) // 2
+    same = (lc == sc) & (pos < n_short[:, None])
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    return m, trans, prefix, n_long
+
+
+def _jw_batch(ca: np.ndarray, cb: np.ndarray, la: np.ndarray, lb: np.ndarray,
+              variant: str) -> np.ndarray:
+    """Jaro-Winkler for rows of non-null strings; same floating-point
+    operations, in the same order, as the scalar functions."""
+    m, t, prefix, n_long = _jaro_parts_batch(ca, cb, la, lb)
+    md = m.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = (md / la + md / lb + (md - t) / md) / 3
+        if variant == "lang3":
+            boost = j + np.minimum(0.1, 1.0 / n_long) * prefix * (1.0 - j)
+            jw = np.where(j < 0.7, j, boost)
+            jw = np.floor(jw * 100.0 + 0.5) / 100.0
+        else:
+            jw = np.where(j > 0.7, j + np.minimum(prefix, 4) * 0.1 * (1.0 - j), j)
+    return np.where(m == 0, 0.0, jw)
+
+
+def jaro_winkler_many(a, b, variant: str = "lang3") -> np.ndarray:
+    """Jaro-Winkler of two equal-length sequences of strings (None gives
+    NaN).  Rows are grouped by the length of the longer string, so a rare
+    long name does not widen the work of a whole batch; very long strings
+    (and batches holding NUL characters) use the scalar code."""
+    va = np.asarray(a, dtype=object)
+    vb = np.asarray(b, dtype=object)
+    out = np.full(len(va), np.nan)
+    ok = ~(pd.isna(va) | pd.isna(vb))
+    if not ok.any():
+        return out
+    fa = np.where(ok, va, "").tolist()
+    fb = np.where(ok, vb, "").tolist()
+    fn = _VARIANTS[variant]
+    if "\x00" in "".join(fa) or "\x00" in "".join(fb):
+        for i in np.nonzero(ok)[0]:
+            out[i] = fn(va[i], vb[i])
+        return out
+    ua, ub = np.array(fa), np.array(fb)
+    la = np.strings.str_len(ua).astype(np.int64)
+    lb = np.strings.str_len(ub).astype(np.int64)
+    longest = np.maximum(la, lb)
+    vector = ok & (longest <= _VECTOR_MAX_LEN)
+    lo = -1
+    for hi in (8, 16, 32, _VECTOR_MAX_LEN):
+        sel = np.nonzero(vector & (longest > lo) & (longest <= hi))[0]
+        if len(sel):
+            width = max(int(longest[sel].max()), 1)
+            ca = _codes(ua[sel].tolist(), width)
+            cb = _codes(ub[sel].tolist(), width)
+            out[sel] = _jw_batch(ca, cb, la[sel], lb[sel], variant)
+        lo = hi
+    for i in np.nonzero(ok & ~vector)[0]:
+        out[i] = fn(va[i], vb[i])
+    return out
 
-def _jw_series(variant: str):
-    base = _VARIANTS[variant]
-
-    def fn(x: str, y: str) -> float:
-        if x == y:  # jaro 1 and no boost left; an empty string has no match
-            return 1.0 if x else 0.0
-        return base(x, y)
 
+def _jw_series(variant: str):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        # blocked pairs repeat the same strings many times within a batch
-        memo: dict = {}
-        out = []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            v = memo.get((x, y))
-            if v is None:
-                v = memo[(x, y)] = fn(x, y)
-            out.append(v)
-        return pd.Series(out, dtype="float64")
+        return pd.Series(jaro_winkler_many(a.to_numpy(dtype=object), b.to_numpy(dtype=object),
+                                           variant), dtype="float64")
     return run
 
 

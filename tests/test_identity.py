@@ -64,3 +64,23 @@ def test_features_are_symmetric_and_filter_denylist(spark):
     assert r0["f7"] == r1["f7"] and r0["f8"] == 1.0
     rules = {r.Prefix: r for r in pair_features(df, "rules").collect()}
     assert rules["quill"].c2 is False and rules["zedq"].c1 is False
+
+
+def test_vectorised_jaro_winkler_equals_scalar():
+    import random
+
+    import numpy as np
+
+    from gitquarry.functions.similarity import (jaro_winkler_many, jaro_winkler_standard)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    words += ["".join(rnd.choice("ab") for _ in range(rnd.randint(60, 80))) for _ in range(20)]
+    a = [rnd.choice(words) for _ in range(5000)] + [None, "x", "été", "a\x00"]
+    b = [rnd.choice(words) for _ in range(5000)] + ["x", None, "ete", "a"]
+    for variant, fn in (("lang3", jaro_winkler_lang3), ("standard", jaro_winkler_standard)):
+        got = jaro_winkler_many(a, b, variant)
+        for x, y, g in zip(a, b, got):
+            if x is None or y is None:
+                assert np.isnan(g)
+            else:
+                assert g == fn(x, y), (x, y)
