@@ -74,12 +74,14 @@ def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFram
 def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                     match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
                     bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
-                    reuse: str | None = None) -> DataFrame:
+                    reuse: str | None = "checkpoint") -> DataFrame:
     """One row per fix commit that has an earlier commit on one of its
     files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies).
 
-    ``reuse="checkpoint"`` writes the reduced predecessor table, which the
-    plan reads twice, to the shared checkpoint folder (see
+    ``reuse="checkpoint"`` (default) writes the reduced predecessor table
+    and the per-fix queries, each read twice by the search, to the shared
+    checkpoint folder: the lineage of the search starts there, so a lost
+    executor costs a re-read, not a re-run of the joins (see
     ``gitquarry.session.materialize``)."""
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
@@ -87,7 +89,7 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
     preds = rows.groupBy("file_id", "commit_id", "cdate").agg(F.min("new_start").alias("m"))
     preds = materialize(preds, reuse)
     first_date = preds.groupBy("file_id").agg(F.min("cdate").alias("first_date"))
-    queries = _fix_queries(rows, first_date, match)
+    queries = materialize(_fix_queries(rows, first_date, match), reuse)
 
     # the span of new_start fixes the number of dyadic levels (two scalars)
     lo, hi = hunks.agg(F.min("new_start"), F.max("new_start")).first()
@@ -117,7 +119,7 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
 def bug_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                  match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
                  bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
-                 reuse: str | None = None) -> DataFrame:
+                 reuse: str | None = "checkpoint") -> DataFrame:
     """A4: distinct inducing commit ids (a null id survives as one row)."""
     return fix_to_inducing(commits, file_actions, hunks, match, pattern, bucket_seconds, reuse) \
         .select(F.col("inducing_commit_id").alias("commit_id")).distinct()

@@ -40,12 +40,14 @@ def build_session(master: str = "local[8]", app: str = "gitquarry",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed file system) folder there and we
-    use it as is.  Only when the setting is absent, which happens in local
-    tests, do we create a scratch folder of our own.
+    use it as is.  Only when the setting is absent *and* the master is
+    local (tests, benchmarks) do we create a scratch folder of our own; on
+    a cluster without the setting the answer is None, never a machine-local
+    folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -54,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            return None
         configured = tempfile.mkdtemp(prefix="gitquarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -64,14 +68,16 @@ def materialize(df, how: str | None):
 
     ``"checkpoint"`` writes it to the shared folder named by
     ``spark.checkpoint.dir`` (reliable: survives the loss of executors and
-    cuts the lineage); ``"persist"`` caches it in memory and on local disk
-    (recomputed from lineage if an executor is lost); ``None`` leaves it to
-    Spark's exchange reuse.
+    cuts the lineage; on a cluster without that setting the result is left
+    to exchange reuse instead); ``"persist"`` caches it in memory and on
+    local disk (recomputed from lineage if an executor is lost); ``None``
+    leaves it to Spark's exchange reuse.
     """
     if how is None:
         return df
     if how == "checkpoint":
-        checkpoint_dir(df.sparkSession)
+        if checkpoint_dir(df.sparkSession) is None:
+            return df
         return df.checkpoint(eager=True)
     if how == "persist":
         from pyspark import StorageLevel
