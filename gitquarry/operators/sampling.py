@@ -72,23 +72,35 @@ def except_distinct(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.subtract(other)
 
 
+THRESHOLD_LEVELS = 40
+
+
 def balanced_sample(df: DataFrame, label_col: str, per_label: int, seed: int,
-                    cols: Sequence[str] | None = None, salt_buckets: int = 256) -> DataFrame:
+                    cols: Sequence[str] | None = None) -> DataFrame:
     """The ``per_label`` rows of every label with the smallest row
     hash (ties by the row's columns).
 
-    Labels are few and one may hold most rows, so ranking inside a label
-    would put that label in one task.  Instead rows are first ranked inside
-    (label, hash bucket) groups and cut to ``per_label`` each; the global
-    top rows of a label are among those survivors, so the final ranking
-    per label sees at most ``salt_buckets * per_label`` rows.
+    A label may hold most rows, so ranking inside a label would put it in
+    one task.  One partial aggregate per label counts its rows ``n`` and
+    the rows whose hash lies below ``2**-j`` for j = 0..40.  Each label then
+    keeps only the rows below the smallest such threshold that still holds
+    ``min(per_label, n)`` rows: its smallest-hash rows are all among them
+    (exact), and as the hash is uniform they number about
+    ``2 * per_label``.  Only these survivors are ranked, so the work per
+    task is bounded by the requested sample size, not by the data.
     """
     cols = list(cols or df.columns)
+    u = df.withColumn("_u", hash_unit(cols, seed, df))
+    below = [F.sum(F.when(F.col("_u") < F.lit(2.0 ** -j), 1).otherwise(0)).alias(f"_c{j}")
+             for j in range(THRESHOLD_LEVELS + 1)]
+    stats = u.groupBy(F.col(label_col).alias("_label")).agg(F.count(F.lit(1)).alias("_n"), *below)
+    need = F.least(F.col("_n"), F.lit(per_label))
+    thr = F.least(*[F.when(F.col(f"_c{j}") >= need, F.lit(2.0 ** -j))
+                    for j in range(THRESHOLD_LEVELS + 1)])
+    cut = stats.select("_label", thr.alias("_thr"))
+    kept = u.join(cut, u[label_col].eqNullSafe(cut["_label"])) \
+        .where(F.col("_u") < F.col("_thr")).drop("_label", "_thr")
     order = [F.col("_u"), *[F.col(c) for c in cols]]
-    ranked = df.withColumn("_u", hash_unit(cols, seed, df)) \
-        .withColumn("_b", F.floor(F.col("_u") * salt_buckets))
-    local = Window.partitionBy(label_col, "_b").orderBy(*order)
-    ranked = ranked.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= per_label)
     final = Window.partitionBy(label_col).orderBy(*order)
-    return ranked.withColumn("_rn", F.row_number().over(final)) \
-        .where(F.col("_rn") <= per_label).drop("_rn", "_u", "_b")
+    return kept.withColumn("_rn", F.row_number().over(final)) \
+        .where(F.col("_rn") <= per_label).drop("_rn", "_u")

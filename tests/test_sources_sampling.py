@@ -61,12 +61,18 @@ def test_hash_split_is_a_partition_and_repeatable(spark):
 def test_balanced_sample_caps_each_label(spark):
     df = spark.range(3000).withColumn("Label", F.when(F.col("id") < 2000, "T")
                                       .when(F.col("id") < 2100, "F").otherwise("U"))
-    got = {r.Label: r.n for r in balanced_sample(df, "Label", 150, 3, salt_buckets=8)
+    got = {r.Label: r.n for r in balanced_sample(df, "Label", 150, 3)
            .groupBy("Label").agg(F.count("*").alias("n")).collect()}
     assert got == {"T": 150, "F": 100, "U": 150}
-    small = balanced_sample(df, "Label", 150, 3, salt_buckets=1)
-    big = balanced_sample(df, "Label", 150, 3, salt_buckets=64)
-    assert sorted(r.id for r in small.collect()) == sorted(r.id for r in big.collect())
+    # exact: the same rows as ranking every row of a label by its hash
+    from pyspark.sql import Window
+    from gitquarry.operators.sampling import hash_unit
+    w = Window.partitionBy("Label").orderBy(hash_unit(df.columns, 3, df), "id", "Label")
+    brute = df.withColumn("rn", F.row_number().over(w)).where("rn <= 150")
+    got_ids = sorted(r.id for r in balanced_sample(df, "Label", 150, 3).collect())
+    assert got_ids == sorted(r.id for r in brute.collect())
+    nulls = df.withColumn("Label", F.when(F.col("id") < 5, F.lit(None)).otherwise(F.col("Label")))
+    assert balanced_sample(nulls, "Label", 150, 3).where(F.col("Label").isNull()).count() == 5
 
 
 def test_new_table_sink_refuses_overwrite(spark, tmp_path):
