@@ -79,3 +79,35 @@ def test_dominance_hot_key(spark):
     for qid, k, t, b in queries:
         cands = [pt for pk, pt, pm in preds if pk == k and pt < t and pm <= b]
         assert got[qid] == (max(cands) if cands else None)
+
+
+def test_fixture_edge_rows(spark):
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    commits = [  # id, date, message
+        (1, day(1), "init"), (2, day(2), "feature"), (3, day(3), "fix bug"), (4, day(4), "FIXED it"),
+        (5, day(5), "a"), (6, day(5), "b"), (7, day(6), "patch"),
+        (9, day(7), "c"), (10, day(8), "d"), (8, day(9), "defect fix"),
+        (11, day(10), "fix"), (13, day(11), "e"), (12, day(12), "fix"),
+    ]
+    # file actions: id, file, commit
+    fas = [(10, "f1", 1), (20, "f1", 2), (30, "f1", 3), (40, "f1", 4), (50, "f2", 5), (60, "f2", 6),
+           (70, "f2", 7), (80, "f3", 8), (81, "f3", 8), (82, "f4", 8), (90, "f3", 9), (100, "f4", 10),
+           (110, "f5", 11), (130, "f6", 13), (120, "f6", 12)]
+    # hunks: file action, new_start, old_start, old_lines
+    hunks = [(10, 10, 0, 0), (20, 15, 0, 0), (30, 20, 10, 5), (40, 0, 10, 4),
+             (50, 1, 0, 0), (60, 1, 0, 0), (70, 0, 0, 100),
+             (90, 30, 0, 0), (100, 40, 0, 0), (80, 0, -1, 3), (81, 0, 50, 0), (82, 0, -1, 1),
+             (110, 0, 1, 1), (130, 100, 0, 0), (120, 0, 5, 0)]
+    cdf = spark.createDataFrame(commits, "_id long, committer_date timestamp, message string")
+    fdf = spark.createDataFrame(fas, "_id long, file_id string, commit_id long")
+    hdf = spark.createDataFrame(hunks, "file_action_id long, new_start int, old_start int, old_lines int")
+    got = {m: {r.fix_commit_id: r.inducing_commit_id for r in fix_to_inducing(cdf, fdf, hdf, m).collect()}
+           for m in ("first_hunk", "per_hunk")}
+    # 3: predecessor exactly on old_start + old_lines counts; 4: one line beyond does not
+    # 7: two predecessors on the same date -> lowest id; 11: no predecessor -> absent
+    # 12: predecessors but none in the region -> null
+    # 8: the -1 hunk after the anchor is tested against the anchor (first_hunk) or itself
+    assert got["first_hunk"] == {3: 2, 4: 1, 7: 5, 8: 10, 12: None}
+    assert got["per_hunk"] == {3: 2, 4: 1, 7: 5, 8: 9, 12: None}
+    for m in ("first_hunk", "per_hunk"):
+        assert brute_force(commits, fas, hunks, m) == got[m]
