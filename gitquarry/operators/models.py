@@ -108,16 +108,19 @@ def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier:
 
 
 # ------------------------------------------------------------------ labelled pairs
-def rule_label(features_rules: DataFrame) -> DataFrame:
+def rule_label(features_rules: DataFrame, keep_features: bool = False) -> DataFrame:
     """Label pairs by rule, standing in for the manual labelling step:
     T when a name-order rule holds or both name similarities reach 0.9,
-    F when no same-field similarity reaches 0.7, U otherwise."""
+    F when no same-field similarity reaches 0.7, U otherwise.
+    ``keep_features`` keeps the rule features next to the label."""
     rule = F.col("c1")
     for i in range(2, 8):
         rule = rule | F.col(f"c{i}")
     strong = (F.col("f5") >= 0.9) & (F.col("f9") >= 0.9)
     weak = F.greatest("f1", "f5", "f9") < 0.7
     label = F.when(rule | strong, "T").when(weak, "F").otherwise("U")
+    if keep_features:
+        return features_rules.withColumn("Label", label)
     return features_rules.select(*PAIR_COLS, label.alias("Label"))
 
 
