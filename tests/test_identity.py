@@ -55,11 +55,13 @@ def test_candidate_pairs_match_brute_force_and_are_symmetric(spark):
 def test_features_are_symmetric_and_filter_denylist(spark):
     pairs = [("zedq", "zed", "quill", "quill", "zed", "quill"),
              ("quill", "zed", "quill", "zedq", "zed", "quill"),
-             ("loguser", "a", "b", "x", "a", "b")]
+             ("loguser", "a", "b", "x", "a", "b"),       # left prefix denylisted: dropped
+             ("mora", "a", "b", "mailinglist", "a", "b"),  # right prefix only: kept
+             ("tarn", None, "b", "x", "a", "b")]           # null field: dropped
     df = spark.createDataFrame(pairs, ",".join(f"{c} string" for c in PAIR_COLS))
-    rows = pair_features(df, "broad").collect()
-    assert len(rows) == 2
-    r0, r1 = sorted(rows, key=lambda r: r.Prefix)
+    rows = [r for r in pair_features(df, "broad").collect()]
+    assert sorted(r.Prefix for r in rows) == ["mora", "quill", "zedq"]
+    r0, r1 = sorted((r for r in rows if r.Prefix != "mora"), key=lambda r: r.Prefix)
     assert r0["PP-Jaccard"] == r1["PP-Jaccard"]
     assert r0["f7"] == r1["f7"] and r0["f8"] == 1.0
     rules = {r.Prefix: r for r in pair_features(df, "rules").collect()}
