@@ -62,21 +62,18 @@ def _file_key() -> F.Column:
 
 def file_actions(events: DataFrame, with_value: bool = False) -> DataFrame:
     """file_action: every commit changes one file; every third commit
-    changes a second file too, so a fix can span files."""
-    base = events.select("event_id", "user_id", "props", "value")
-    first = base.select(
+    changes a second file too, so a fix can span files.  One scan: the
+    (one or two) actions of an event are exploded from an array."""
+    first = F.struct(
         (F.col("event_id") * 2).alias("_id"),
-        F.col("event_id").alias("commit_id"),
-        (_file_key() + F.col("user_id") % 10).alias("file_id"),
-        "value",
-    )
-    second = base.filter(F.col("event_id") % 3 == 0).select(
+        (_file_key() + F.col("user_id") % 10).alias("file_id"))
+    second = F.struct(
         (F.col("event_id") * 2 + 1).alias("_id"),
-        F.col("event_id").alias("commit_id"),
-        (_file_key() + (F.col("user_id") + 3) % 10).alias("file_id"),
-        "value",
-    )
-    out = first.unionByName(second)
+        (_file_key() + (F.col("user_id") + 3) % 10).alias("file_id"))
+    actions = F.when(F.col("event_id") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    out = events.select(F.col("event_id").alias("commit_id"), "value",
+                        F.explode(actions).alias("a")) \
+        .select(F.col("a._id").alias("_id"), "commit_id", F.col("a.file_id").alias("file_id"), "value")
     return out if with_value else out.drop("value")
 
 
@@ -86,20 +83,17 @@ def hunks(events: DataFrame) -> DataFrame:
     fa = file_actions(events, with_value=True)
     v = (F.round(F.col("value") * 100).cast("bigint") + (F.col("_id") % 2) * 37).alias("v")
     fa = fa.select(F.col("_id").alias("file_action_id"), v)
-    a = fa.select(
-        "file_action_id",
+    a = F.struct(
         (F.col("v") % 400).cast("int").alias("new_start"),
         (F.expr("v div 7") % 300).cast("int").alias("old_start"),
-        (F.col("v") % 13).cast("int").alias("old_lines"),
-    )
-    b = fa.select(
-        "file_action_id",
+        (F.col("v") % 13).cast("int").alias("old_lines"))
+    b = F.struct(
         (F.expr("v div 3") % 500).cast("int").alias("new_start"),
         F.when(F.col("v") % 11 == 0, F.lit(-1)).otherwise(F.expr("v div 11") % 350)
         .cast("int").alias("old_start"),
-        (F.expr("v div 5") % 9).cast("int").alias("old_lines"),
-    )
-    return a.unionByName(b)
+        (F.expr("v div 5") % 9).cast("int").alias("old_lines"))
+    return fa.select("file_action_id", F.explode(F.array(a, b)).alias("h")) \
+        .select("file_action_id", "h.new_start", "h.old_start", "h.old_lines")
 
 
 def messages(events: DataFrame) -> DataFrame:
