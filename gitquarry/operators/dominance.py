@@ -45,9 +45,29 @@ def levels_for(m_lo: int, m_hi: int) -> int:
     return max(int(m_hi) - int(m_lo), 0).bit_length()
 
 
+def time_key(col, dtype: T.DataType) -> F.Column:
+    """A numeric key with the order of the time column, independent of the
+    session time zone: microseconds for timestamps (for ``timestamp_ntz``
+    from its calendar fields, since a cast through a zone with daylight
+    saving is not monotone), days for dates, the value itself otherwise."""
+    c = F.col(col) if isinstance(col, str) else col
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.TimestampNTZType):
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        whole = (days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint")
+        micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+        return whole * 1_000_000 + micros
+    if isinstance(dtype, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return c
+
+
 def _epoch_seconds(col: str, dtype: T.DataType) -> F.Column:
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1_000_000)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return time_key(col, dtype) / F.lit(1_000_000)
+    if isinstance(dtype, T.DateType):
+        return time_key(col, dtype) * 86400
     return F.col(col).cast("double")
 
 

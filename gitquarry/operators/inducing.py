@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
-from gitquarry.operators.dominance import DEFAULT_BUCKET_SECONDS, latest_before_under
+from gitquarry.operators.dominance import DEFAULT_BUCKET_SECONDS, latest_before_under, time_key
 from gitquarry.session import materialize
 
 MATCH_MODES = ("first_hunk", "per_hunk")
@@ -108,7 +108,7 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
                      F.col("cdate").alias("p_date"), F.col("m").alias("p_m"))
     hit = (F.col("file_id") == F.col("p_file")) & (F.col("ans") == F.col("p_date")) \
         & (F.col("p_m") <= F.col("bound"))
-    later_first = -F.unix_micros(F.col("ans").cast("timestamp"))
+    later_first = -time_key("ans", ans.schema["ans"].dataType)
     pick = F.when(F.col("p_commit").isNotNull(), F.struct(later_first.alias("k"), F.col("p_commit")))
     return ans.join(p, hit, "left").groupBy("commit_id") \
         .agg(F.min(pick).alias("pick")) \

@@ -111,3 +111,32 @@ def test_fixture_edge_rows(spark):
     assert got["per_hunk"] == {3: 2, 4: 1, 7: 5, 8: 9, 12: None}
     for m in ("first_hunk", "per_hunk"):
         assert brute_force(commits, fas, hunks, m) == got[m]
+
+
+def test_wall_clock_times_in_a_daylight_saving_gap(spark):
+    """timestamp_ntz values keep their calendar order whatever the session
+    time zone: 02:30 on the spring-forward night does not exist in New
+    York, yet it comes before 03:10."""
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        commits = spark.createDataFrame(
+            [(1, "2024-03-10 02:30:00", "a"), (2, "2024-03-10 03:10:00", "b"),
+             (3, "2024-03-10 03:20:00", "fix")], "_id long, t string, message string") \
+            .selectExpr("_id", "CAST(t AS TIMESTAMP_NTZ) AS committer_date", "message")
+        # the fix touches two files; file x last changed at 02:30, file y at 03:10
+        fas = spark.createDataFrame([(10, "x", 1), (20, "y", 2), (30, "x", 3), (31, "y", 3)],
+                                    "_id long, file_id string, commit_id long")
+        hunks = spark.createDataFrame([(10, 1, 0, 0), (20, 1, 0, 0), (30, 0, 5, 5), (31, 0, 5, 5)],
+                                      "file_action_id long, new_start int, old_start int, old_lines int")
+        for bucket in (86400, 600):  # one bucket, and buckets split at the gap
+            got = {r.fix_commit_id: r.inducing_commit_id
+                   for r in fix_to_inducing(commits, fas, hunks, "per_hunk",
+                                            bucket_seconds=bucket).collect()}
+            assert got == {3: 2}, bucket
+        # the earlier wall-clock predecessor alone is still found (not lost to a bucket)
+        only_x = fix_to_inducing(commits, fas.where("file_id = 'x'"), hunks, "per_hunk",
+                                 bucket_seconds=600).collect()
+        assert [(r.fix_commit_id, r.inducing_commit_id) for r in only_x] == [(3, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
