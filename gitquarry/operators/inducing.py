@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
 from gitquarry.operators.dominance import DEFAULT_BUCKET_SECONDS, latest_before_under, time_key
@@ -71,13 +72,36 @@ def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFram
     return fixes.groupBy("commit_id", "file_id", "cdate").agg(F.max(bound).alias("bound"))
 
 
+DEFAULT_BUCKET_ROWS = 1_000_000
+
+
+def bucket_width(commits: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> float:
+    """Seconds per time bucket such that a bucket holds about
+    ``bucket_rows`` commits of *all* files together (span x rows / count).
+
+    Any single file, however hot, then has at most that many commits per
+    bucket on average, so the windows of the search stay bounded at any
+    scale; small inputs get one bucket and no carry work.  One scalar
+    aggregate over the commit dates."""
+    key = time_key("committer_date", commits.schema["committer_date"].dataType)
+    lo, hi, n = commits.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    if not n or lo is None:
+        return float(DEFAULT_BUCKET_SECONDS)
+    scale = 1_000_000 if isinstance(commits.schema["committer_date"].dataType,
+                                    (T.TimestampType, T.TimestampNTZType)) else 1
+    span = max((hi - lo) / scale, 1.0)
+    return max(span * bucket_rows / n, 1.0)
+
+
 def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                     match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                    bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
-                    reuse: str | None = "checkpoint") -> DataFrame:
+                    bucket_seconds: float | None = None,
+                    reuse: str | None = "checkpoint",
+                    bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """One row per fix commit that has an earlier commit on one of its
     files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies).
 
+    ``bucket_seconds`` defaults to ``bucket_width(commits, bucket_rows)``.
     ``reuse="checkpoint"`` (default) writes the reduced predecessor table
     and the per-fix queries, each read twice by the search, to the shared
     checkpoint folder: the lineage of the search starts there, so a lost
@@ -85,6 +109,8 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
     ``gitquarry.session.materialize``)."""
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
+    if bucket_seconds is None:
+        bucket_seconds = bucket_width(commits, bucket_rows)
     rows = hunk_rows(commits, file_actions, hunks, pattern)
     preds = rows.groupBy("file_id", "commit_id", "cdate").agg(F.min("new_start").alias("m"))
     preds = materialize(preds, reuse)
@@ -118,7 +144,7 @@ def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFram
 
 def bug_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
                  match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                 bucket_seconds: float = DEFAULT_BUCKET_SECONDS,
+                 bucket_seconds: float | None = None,
                  reuse: str | None = "checkpoint") -> DataFrame:
     """A4: distinct inducing commit ids (a null id survives as one row)."""
     return fix_to_inducing(commits, file_actions, hunks, match, pattern, bucket_seconds, reuse) \
