@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gitquarry.operators import activity, identity, inducing, labels, models, sampling
 from gitquarry.plans import oracle
 from gitquarry.sources import adapters
 from gitquarry.sources.adapters import RepoTables
+from gitquarry.sources.catalog import load_logical, preview
 
 PROJECT_LIKE = "A%"
 DAY_FORMAT = "yyyy-MM-dd"
@@ -126,7 +129,6 @@ def q_balanced_sample(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_rule_confusion(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql import functions as F
     simple = _features(spark, root, "simple")
     pred = F.when((F.col("f2") >= 0.85) & (F.col("f3") >= 0.85), "T") \
         .when(F.greatest("f4", "f5", "f6") < 0.5, "F").otherwise("U")
@@ -136,7 +138,6 @@ def q_rule_confusion(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _matcher(spark, root, kind, classifier, labels, balanced=False):
-    from pyspark.sql import functions as F
     lab = _labelled(spark, root)
     if balanced:
         lab = sampling.balanced_sample(lab, "Label", PER_LABEL, BALANCE_SEED)
@@ -171,7 +172,6 @@ def q_matcher_rules_accuracy(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_entity_states_logical(spark: SparkSession, root: str) -> DataFrame:
-    from gitquarry.sources.catalog import load_logical
     states = load_logical(RepoTables(spark, root).code_entity_states(), "code_entity_state",
                           [["RID"], ["AbstractionLevel"], ["ProductMetric", "JavaClass"]])
     return states.select("_id", "commit_id", "file_id", "ce_type", "metrics.LOC", "metrics.WMC",
@@ -179,8 +179,6 @@ def q_entity_states_logical(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_defect_prediction(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import functions as F
     t = RepoTables(spark, root)
     preds = models.defect_prediction(t.code_entity_states(), t.commits())
     return preds.select("bugfix", "bugfix_double", "prediction",
@@ -191,7 +189,6 @@ GLM_FRACTION, GLM_SEED, GLM_DIGITS = 0.5, 42, 3
 
 
 def q_size_regression_coefficients(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql import functions as F
     coef, _ = models.size_regression(RepoTables(spark, root).code_entity_states(),
                                      fraction=GLM_FRACTION, seed=GLM_SEED)
     return coef.select("term", F.round("estimate", GLM_DIGITS).alias("estimate"))
@@ -211,7 +208,6 @@ TOP_N = 100
 
 
 def q_developer_activity_top(spark: SparkSession, root: str) -> DataFrame:
-    from gitquarry.sources.catalog import preview
     df = q_developer_activity(spark, root)
     return preview(df, TOP_N, *df.columns)
 
