@@ -96,10 +96,15 @@ def _salted_join(t: DataFrame, keys: Sequence[str], residual, hot_pairs: int,
 
 
 def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: int = 1_000_000,
-                    salt_buckets: int = 64, num_partitions: int | None = None) -> DataFrame:
+                    salt_buckets: int = 1024, num_partitions: int | None = None) -> DataFrame:
     """J6 / C6 blocking: columns Prefix, Firstname, Lastname, Prefix_1,
     Firstname_1, Lastname_1.  A null in any column excludes the row.
-    ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``."""
+    ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``.
+
+    A block of n triples yields n*n pairs, all of them part of the result;
+    salting keeps the pairs per task near ``hot_pairs`` up to
+    ``salt_buckets`` buckets per key, while the replicated right side grows
+    only with n * buckets."""
     if mode not in PAIR_MODES:
         raise ValueError(f"mode must be one of {PAIR_MODES}")
     if num_partitions is None:
