@@ -226,40 +226,52 @@ def _jw_batch(ca: np.ndarray, cb: np.ndarray, la: np.ndarray, lb: np.ndarray,
     return np.where(m == 0, 0.0, jw)
 
 
-def jaro_winkler_many(a, b, variant: str = "lang3") -> np.ndarray:
-    """Jaro-Winkler of two equal-length sequences of strings (None gives
-    NaN).  Rows are grouped by the length of the longer string, so a rare
-    long name does not widen the work of a whole batch; very long strings
-    (and batches holding NUL characters) use the scalar code."""
-    va = np.asarray(a, dtype=object)
-    vb = np.asarray(b, dtype=object)
-    out = np.full(len(va), np.nan)
-    ok = ~(pd.isna(va) | pd.isna(vb))
-    if not ok.any():
-        return out
-    fa = np.where(ok, va, "").tolist()
-    fb = np.where(ok, vb, "").tolist()
+def _jw_distinct(fa: list, fb: list, variant: str) -> np.ndarray:
+    """Jaro-Winkler of non-null string lists without NUL characters."""
+    out = np.empty(len(fa))
     fn = _VARIANTS[variant]
-    if "\x00" in "".join(fa) or "\x00" in "".join(fb):
-        for i in np.nonzero(ok)[0]:
-            out[i] = fn(va[i], vb[i])
-        return out
     ua, ub = np.array(fa), np.array(fb)
     la = np.strings.str_len(ua).astype(np.int64)
     lb = np.strings.str_len(ub).astype(np.int64)
     longest = np.maximum(la, lb)
-    vector = ok & (longest <= _VECTOR_MAX_LEN)
     lo = -1
     for hi in (8, 16, 32, _VECTOR_MAX_LEN):
-        sel = np.nonzero(vector & (longest > lo) & (longest <= hi))[0]
+        sel = np.nonzero((longest > lo) & (longest <= hi))[0]
         if len(sel):
             width = max(int(longest[sel].max()), 1)
-            ca = _codes(ua[sel].tolist(), width)
-            cb = _codes(ub[sel].tolist(), width)
-            out[sel] = _jw_batch(ca, cb, la[sel], lb[sel], variant)
+            out[sel] = _jw_batch(_codes(ua[sel].tolist(), width), _codes(ub[sel].tolist(), width),
+                                 la[sel], lb[sel], variant)
         lo = hi
-    for i in np.nonzero(ok & ~vector)[0]:
-        out[i] = fn(va[i], vb[i])
+    for i in np.nonzero(longest > _VECTOR_MAX_LEN)[0]:
+        out[i] = fn(fa[i], fb[i])
+    return out
+
+
+def jaro_winkler_many(a, b, variant: str = "lang3") -> np.ndarray:
+    """Jaro-Winkler of two equal-length sequences of strings (None gives
+    NaN).  Each distinct (a, b) pair of the batch is computed once (blocked
+    pairs repeat strings heavily); rows are grouped by the length of the
+    longer string, so a rare long name does not widen the work of a whole
+    batch; very long strings (and batches holding NUL characters) use the
+    scalar code."""
+    va = np.asarray(a, dtype=object)
+    vb = np.asarray(b, dtype=object)
+    out = np.full(len(va), np.nan)
+    idx = np.nonzero(~(pd.isna(va) | pd.isna(vb)))[0]
+    if len(idx) == 0:
+        return out
+    fa, fb = va[idx].tolist(), vb[idx].tolist()
+    if "\x00" in "".join(fa) or "\x00" in "".join(fb):
+        # NUL characters defeat fixed-width arrays and C-string hashing
+        fn = _VARIANTS[variant]
+        out[idx] = [fn(x, y) for x, y in zip(fa, fb)]
+        return out
+    ca, ua = pd.factorize(va[idx])
+    cb, ub = pd.factorize(vb[idx])
+    pair_codes, _ = pd.factorize(ca.astype(np.int64) * max(len(ub), 1) + cb)
+    _, first = np.unique(pair_codes, return_index=True)
+    values = _jw_distinct(ua[ca[first]].tolist(), ub[cb[first]].tolist(), variant)
+    out[idx] = values[pair_codes]
     return out
 
 
