@@ -86,3 +86,24 @@ def test_vectorised_jaro_winkler_equals_scalar():
                 assert np.isnan(g)
             else:
                 assert g == fn(x, y), (x, y)
+
+
+def test_standard_variant_matches_duckdb():
+    import random
+
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    from gitquarry.functions.similarity import jaro_winkler_many
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdeghilmnorst") for _ in range(rnd.randint(1, 12)))
+             for _ in range(400)]
+    df = pd.DataFrame([(rnd.choice(words), rnd.choice(words)) for _ in range(5000)],
+                      columns=["a", "b"])
+    con = duckdb.connect()
+    con.register("p", df)
+    expected = np.array([r[0] for r in con.execute(
+        "SELECT jaro_winkler_similarity(a, b) FROM p").fetchall()])
+    got = jaro_winkler_many(df.a.tolist(), df.b.tolist(), "standard")
+    assert np.max(np.abs(expected - got)) < 1e-12
