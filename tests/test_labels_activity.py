@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import Row
 
 from gitquarry.functions.text import BUGFIX_PATTERN
 from gitquarry.operators.activity import developer_activity
