@@ -1,8 +1,10 @@
 """Learning jobs on Spark ML.
 
 Estimators are distributed (tree statistics and gradients are aggregated
-across executors); only fitted parameters reach the driver.  Inputs that
-an estimator scans many times are persisted and released afterwards.
+across executors); only fitted parameters reach the driver.  The matcher
+persists its assembled data, which three fits and the scoring read, and
+``MatcherResult.release()`` frees it once the caller has consumed the
+results; a lost cached block is recomputed from lineage.
 """
 
 from __future__ import annotations
@@ -72,6 +74,12 @@ class MatcherResult:
     misclassified: DataFrame
     accuracy: DataFrame
     labels: list
+    cached: DataFrame | None = None
+
+    def release(self) -> None:
+        """Unpersist the cached training data (call after using the results)."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
 
 def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier: str = "gbt",
@@ -104,7 +112,7 @@ def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier:
     labels = list(label_idx.labels)
     return MatcherResult(preds, confusion_matrix(preds, labels, label_col=label_col),
                          misclassified(preds, label_col=label_col),
-                         accuracy(preds, label_col=label_col), labels)
+                         accuracy(preds, label_col=label_col), labels, data)
 
 
 # ------------------------------------------------------------------ labelled pairs
@@ -140,7 +148,8 @@ def defect_prediction(entity_states: DataFrame, commits: DataFrame,
         .where(F.col("ce_type").like(ce_type_like)).drop("ce_type") \
         .where(F.col("bugfix").isNotNull()) \
         .withColumn("bugfix_double", F.col("bugfix").cast("double"))
-    df = struct_to_features(df, "metrics", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    # the estimator persists its own uncached input for the duration of the fit
+    df = struct_to_features(df, "metrics", "features")
     model = LogisticRegression(labelCol="bugfix_double", featuresCol="features").fit(df)
     return model.transform(df)
 
@@ -157,7 +166,9 @@ def size_regression(entity_states: DataFrame, response: str = "LOC",
                           [["AbstractionLevel"], ["ProductMetric", "JavaClass"]])
     selected = states.where(F.col("ce_type") == ce_type) \
         .select(*[F.col(f"metrics.{c}").alias(c) for c in [response, *predictors]])
-    train = bernoulli_sample(selected, fraction, seed, method=sample).persist(StorageLevel.MEMORY_AND_DISK)
+    # a hash filter over one scan: cheaper to recompute for EXCEPT than to cache;
+    # the Gaussian fit is a single aggregation pass
+    train = bernoulli_sample(selected, fraction, seed, method=sample)
     test = except_distinct(selected, train)
     asm = VectorAssembler(inputCols=list(predictors), outputCol="features")
     glm = GeneralizedLinearRegression(family="gaussian", link="identity", labelCol=response,
