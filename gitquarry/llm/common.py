@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +30,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table under ``spark.checkpoint.dir`` and read it
-    from there: the lineage is cut, a lost executor costs a read only, and
-    several readers share one computation.  The files go when the
-    application's JVM ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which the driver and all
+    executors share.  It goes when the application's JVM ends."""
     root = checkpoint_dir(spark)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{root.rstrip('/')}/gitquarry-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in a shared folder and read it from there:
+    the lineage is cut, a lost executor costs a read only, and several
+    readers share one computation."""
+    path = f"{fresh_folder(df.sparkSession)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave when a task of this Python worker first asked for
+    ``key``: for bounded tables that are costly to fill and change no result."""
+    kept = sys.modules.setdefault("gitquarry_worker_state", ModuleType("gitquarry_worker_state")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def batches(stream: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:

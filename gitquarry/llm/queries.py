@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitquarry.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from gitquarry.llm.common import table
+from gitquarry.llm import decontaminate, exact_dedup, licenses, packing, pii, simhash, substring_dedup, toxicity, url_filter, warc
+from gitquarry.llm.common import fresh_folder, table
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,11 +22,29 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    warc.write_monolithic(table(spark, sf_dir, "pages"), f"{folder}/crawl")
+    warc.normalise(spark, f"{folder}/crawl", f"{folder}/normal")
+    return warc.read(spark, f"{folder}/normal/archive", with_payload=False, names="part-*").select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"))
+
+
+def op4_seed_and_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_association_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -34,20 +52,55 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    joined = lambda name: F.array_join(F.transform(name, pii.span_text), ",")
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_harmonic_packing, op5_block_naming_dedup, op7_kneser_ney_toxicity,
-    op9_prefix_decontamination)}
+    op1_simhash_near_dedup, op2_harmonic_packing, op3_warc_normaliser, op4_seed_and_extend_dedup, op5_block_naming_dedup,
+    op6_association_url_filter, op7_kneser_ney_toxicity, op8_weak_supervision_pii, op9_prefix_decontamination,
+    op10_diagonal_license_scan)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x{7F}]+"
 
 ORACLE = {
+    "op3_warc_normaliser": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+        g AS (SELECT page_id, strlen(x) AS payload_bytes, sha1(x) AS payload_digest, max(page_id) OVER (PARTITION BY x) AS last_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM g""",
+    "op4_seed_and_extend_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+                FROM d, unnest(generate_series(1, len(w) - 19)) AS u(i) WHERE len(w) >= 20),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win)
+                  WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS j FROM again),
+        lists AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id),
+        word AS (SELECT doc_id, i, w[i] AS x FROM d, unnest(generate_series(1, len(w))) AS u(i)),
+        kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS s
+                 FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.i
+                 WHERE gone.j IS NULL GROUP BY word.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op5_block_naming_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,

@@ -266,8 +266,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, t
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (u, v): root is the
-    smallest node of its connected group."""
+    """(node, root) for every node of the undirected edges (u, v) that is not
+    the smallest of its connected group; root is that smallest node."""
     current = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
