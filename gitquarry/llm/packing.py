@@ -12,8 +12,8 @@ sequences, the last of them into powers of two, which need no padding.
 
 Scale: one pass over the documents without any shuffle.  A worker holds at most
 one open bin per class.  Ids of sequences combine partition and place, so a
-repeated task gives the same rows.  Words are tokenised once and kept in a bounded
-table; tokens of a text are those of its words, as the vocabulary's
+repeated task gives the same rows.  Words are tokenised once and kept by the worker, over
+tasks, in a bounded table; tokens of a text are those of its words, as the vocabulary's
 pre-tokeniser never joins across white space.
 
 Defined cases: a null or empty text is the single end id.  Rows repeating a
@@ -23,7 +23,9 @@ ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,52 +33,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from gitquarry.llm.common import batches, texts
+from gitquarry.llm.common import batches, texts, worker_state
 
 CAPACITY = 2048
 CLASSES = 16
 END_ID = 1
-_MOST_WORDS = 400_000
+_MOST_WORDS = 800_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the characters U+0000 to U+00FF:
+    each UTF-8 byte as a letter of its own, visible ones as themselves."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in visible}
+    letters |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letters)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 class WordTokens:
-    """Token ids of texts, remembering those of ``most`` words."""
+    """Token ids of texts.  A text's ids are those of its words, and a word's
+    ids those of the pieces into which the vocabulary's pre-tokeniser cuts it;
+    both are remembered, ``most`` of each.  Words beyond Latin-1, and those
+    that may hold a special token, go through the whole tokeniser."""
+
+    # The vocabulary's pieces, for lower-case letters and digits of Latin-1.
+    _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+    _PLAIN = re.compile("(?:(?!<\\|)[\x21-\x7e\xa1-\xff])*")
 
     def __init__(self, path: str, most: int = _MOST_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces_only = Tokenizer(self.tokenizer.model)
+        self.pieces_only.pre_tokenizer = WhitespaceSplit()
+        self.letters = _byte_letters()
         self.most = most
+        self.pieces: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
-
-    def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum()))])
+        self.number = _Numbers()
+        self.known = 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _learn_pieces(self, missing: list[str]) -> None:
+        found = self.pieces_only.encode(" ".join(missing).translate(self.letters | {32: " "}), add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing)), side="right") * 4
+        ids, at = np.array(found.ids, np.int32).tobytes(), 0
+        for piece, end in zip(missing, ends.tolist(), strict=True):
+            self.pieces[piece] = ids[at:end]
+            at = end
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as 32-bit integers."""
+        cut, whole, plain, find = [], [], self._PLAIN.fullmatch, self._PIECES.findall
+        for word in words:
+            text = word.decode()
+            cut.append(find(text.lower()) if plain(text) else text)
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        held = self.pieces
+        if missing := {p: None for pieces in cut if type(pieces) is list for p in pieces if p not in held}:
+            self._learn_pieces(list(missing))
+        if whole := [text for text in cut if type(text) is str]:
+            found = (np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        return [(held[c[0]] if len(c) == 1 else b"".join([held[p] for p in c])) if type(c) is list else next(found) for c in cut]
+
+    def learn(self) -> None:
+        """The ids of the words that have a number but no ids yet."""
+        words = list(islice(reversed(self.number), len(self.number) - self.known))[::-1]
+        ids = self._ids(words)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        total = int(lengths.sum())
+        while self.known + len(words) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + total > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        here = slice(self.known, self.known + len(words))
+        self.starts[here] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[here] = lengths
+        self.pool[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.int32)
+        self.known += len(words)
+        self.used += total
 
     def encode(self, some: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in some]
-        if len(self.number) > self.most:
+        if self.known > self.most:
             self.forget()
-        known = self.number
-        missing = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        if missing:
-            self.learn(missing)
-        out = []
-        for words in split:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[at]
-            total = int(lengths.sum())
-            first = np.repeat(self.starts[at] - (np.cumsum(lengths) - lengths), lengths)
-            out.append(self.pool[first + np.arange(total)])
-        return out
+        split = [t.split() for t in some]
+        counts = list(map(len, split))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        if len(self.number) > self.known:
+            self.learn()
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        flat = self.pool[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+        of_text = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        return [flat[i:j] for i, j in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)]
 
 
 class Packer:
@@ -145,7 +207,8 @@ class Packer:
 
 def _pack(vocabulary: str, capacity: int, classes: int):
     def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = WordTokens(vocabulary), Packer(capacity, classes)
+        tokens = worker_state(("tokens", vocabulary), lambda: WordTokens(vocabulary))
+        packer = Packer(capacity, classes)
         sequence = TaskContext.get().partitionId() << 40
         id_type, rows = pa.int64(), []
 
