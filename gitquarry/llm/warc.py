@@ -187,24 +187,39 @@ def _member(raw: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-_MEMBERS = "archive string, seq long, offset long, length long, record_id string, type string, member binary"
-
-
 def _members(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("archive", pa.string()), ("seq", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()),
-                        ("record_id", pa.string()), ("type", pa.string()), ("member", pa.binary())])
+    """Files to one gzip member per record, in order."""
     for batch in batches(stream, 1):
-        path, content = batch.column(0)[0].as_py(), batch.column(1)[0].as_buffer()
-        rows, offset, held = [], 0, 0
-        for seq, found in enumerate(parse(content)):
-            member = _member(found.raw)
-            rows.append({"archive": path, "seq": seq, "offset": offset, "length": len(member),
-                         "record_id": found.headers["warc-record-id"], "type": found.headers["warc-type"], "member": member})
-            offset += len(member) + len(EMPTY_MEMBER)
-            held += len(member)
+        rows, held = [], 0
+        for found in parse(batch.column(1)[0].as_buffer()):
+            rows.append(_member(found.raw))
+            held += len(rows[-1])
             if held > _PIECE:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
                 rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["member"])
+
+
+_INDEX = "file string, offset long, length long, record_id string, type string"
+
+
+def _index(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files of one member per record to the members' places."""
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string())])
+    for batch in batches(stream, 1):
+        name, content, at, rows = batch.column(0)[0].as_py().rpartition("/")[2], memoryview(batch.column(1)[0].as_buffer()), 0, []
+        while at < len(content):
+            end = at
+            stream_of_member = zlib.decompressobj(wbits=31)
+            raw = bytearray()
+            while not stream_of_member.eof:
+                piece = content[end:end + _READ_BYTES]
+                raw += stream_of_member.decompress(piece)
+                end += len(piece) - len(stream_of_member.unused_data)
+            (found,) = RecordStream().feed(raw)
+            rows.append({"file": name, "offset": at, "length": end - at, "record_id": found.headers["warc-record-id"], "type": found.headers["warc-type"]})
+            at = end + len(EMPTY_MEMBER)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -216,13 +231,10 @@ def _files(spark: SparkSession, path: str, names: str) -> DataFrame:
 def normalise(spark: SparkSession, source: str, target: str) -> None:
     """Rewrite the gzip files under ``source``: archives go to
     ``target``/archive, their index to ``target``/index (a Parquet table)."""
-    members = stored(_files(spark, source, "*.gz").mapInArrow(_members, _MEMBERS))
-    named = members.select(F.hex(F.xxhash64("archive")).alias("file"), "*")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (named.repartition(parts, "file").sortWithinPartitions("file", "seq")
-     .select("file", F.col("member").cast("string").alias("value"))
-     .write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(f"{target}/archive"))
-    named.drop("member").write.parquet(f"{target}/index")
+    members = _files(spark, source, "*.gz").mapInArrow(_members, "member binary")
+    (members.select(F.col("member").cast("string").alias("value"))
+     .write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(f"{target}/archive"))
+    _files(spark, f"{target}/archive", "part-*").mapInArrow(_index, _INDEX).write.parquet(f"{target}/index")
 
 
 _READ = "record_id string, type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
