@@ -1,8 +1,8 @@
 """gitquarry: software-repository mining as Spark DataFrame operators.
 
 Every public operator is a deterministic function from DataFrames to a
-DataFrame.  Nothing is collected to the driver; the session is always
-passed in by the caller.
+DataFrame.  Only scalars and fitted parameters reach the driver; the
+session is always passed in by the caller.
 """
 
 from gitquarry.session import build_session, checkpoint_dir

@@ -16,10 +16,9 @@ the first equal column:
 
 So three joins replace six and the final ``distinct`` disappears.  The
 result is by definition every pair inside a block, so its size is what it
-is; what must not happen is one task owning a hot block.  Keys whose block
-yields more than ``hot_pairs`` pairs are salted: the left side is spread
-over several buckets by a hash of the row and the right side is replicated
-once per bucket for those keys only.
+is; what must not happen is one task owning a hot block.  The pairs of keys
+whose block yields more than ``hot_pairs`` pairs are dealt over a grid of
+cells: left rows to its rows, right rows to its columns.
 """
 
 from __future__ import annotations
@@ -61,50 +60,51 @@ def normalize_people(people: DataFrame, drop_null: bool = True,
 
 
 # ------------------------------------------------------------------ C6
-def _salted_join(t: DataFrame, keys: Sequence[str], residual, hot_pairs: int,
-                 salt_buckets: int, num_partitions: int) -> DataFrame:
+def _grid_join(t: DataFrame, keys: Sequence[str], residual, hot_pairs: int,
+               num_partitions: int) -> DataFrame:
     """Self-join of the triples on ``keys`` plus a residual predicate.
 
     A key with n triples yields about n*n pairs; when that exceeds
-    ``hot_pairs`` the key is split over ceil(n*n / hot_pairs) buckets (at
-    most ``salt_buckets``): left rows go to one bucket by row hash, right
-    rows of that key are replicated to every bucket.
+    ``hot_pairs`` the key's pairs are dealt over a grid of g x g cells with
+    g = ceil(n / sqrt(hot_pairs)).  A left row belongs to one row of the grid
+    and goes to its g cells, a right row to one column and its g cells, so
+    each pair meets in exactly one cell, a cell holds about ``hot_pairs``
+    pairs at any n, and a row is replicated n / sqrt(hot_pairs) times.
 
-    Both sides are hash-partitioned on (keys, salt) into ``num_partitions``
+    Both sides are hash-partitioned on (keys, cell) into ``num_partitions``
     explicitly: the join output can be far larger than its input, so the
     input-size based coalescing of adaptive execution would leave the
     output (and the per-pair features computed on it) in a few tasks.  The
     join reuses this partitioning; no further exchange is planned.
     """
     keys = list(keys)
-    n2 = F.col("_n") * F.col("_n")
-    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(n2 > hot_pairs) \
-        .select(*keys, F.least(F.lit(salt_buckets).cast("bigint"),
-                               F.ceil(n2 / F.lit(hot_pairs)).cast("bigint")).alias("_s"))
-    tt = t.join(hot, keys, "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(1).cast("bigint")))
-    left = tt.withColumn("_salt", F.pmod(F.xxhash64(*NAME_COLS), F.col("_s"))).drop("_s")
+    side = hot_pairs ** 0.5
+    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > side) \
+        .select(*keys, F.ceil(F.col("_n") / F.lit(side)).cast("bigint").alias("_g"))
+    tt = t.join(hot, keys, "left").withColumn("_g", F.coalesce(F.col("_g"), F.lit(1).cast("bigint"))) \
+        .withColumn("_own", F.pmod(F.xxhash64(*NAME_COLS), F.col("_g"))) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)))
+    left = tt.withColumn("_cell", F.col("_own") * F.col("_g") + F.col("_other")).drop("_g", "_own", "_other")
     right = tt.select(*[F.col(c).alias(r) for c, r in zip(NAME_COLS, RIGHT_COLS)],
-                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s").cast("bigint") - 1))
-                      .alias("_salt_1"))
+                      (F.col("_other") * F.col("_g") + F.col("_own")).alias("_cell_1"))
     rkeys = [RIGHT_COLS[NAME_COLS.index(k)] for k in keys]
-    left = left.repartition(num_partitions, *keys, "_salt")
-    right = right.repartition(num_partitions, *rkeys, "_salt_1")
-    cond = F.col("_salt") == F.col("_salt_1")
+    left = left.repartition(num_partitions, *keys, "_cell")
+    right = right.repartition(num_partitions, *rkeys, "_cell_1")
+    cond = F.col("_cell") == F.col("_cell_1")
     for k, rk in zip(keys, rkeys):
         cond = cond & (F.col(k) == F.col(rk))
     return left.join(right, cond & residual).select(*PAIR_COLS)
 
 
 def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: int = 1_000_000,
-                    salt_buckets: int = 1024, num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """J6 / C6 blocking: columns Prefix, Firstname, Lastname, Prefix_1,
     Firstname_1, Lastname_1.  A null in any column excludes the row.
     ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``.
 
     A block of n triples yields n*n pairs, all of them part of the result;
-    salting keeps the pairs per task near ``hot_pairs`` up to
-    ``salt_buckets`` buckets per key, while the replicated right side grows
-    only with n * buckets."""
+    a grid of cells keeps the pairs of a key that meet in one place near
+    ``hot_pairs``, whatever n is."""
     if mode not in PAIR_MODES:
         raise ValueError(f"mode must be one of {PAIR_MODES}")
     if num_partitions is None:
@@ -126,16 +126,16 @@ def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: i
         ]
     out = None
     for keys, residual in parts:
-        j = _salted_join(t, keys, residual, hot_pairs, salt_buckets, num_partitions)
+        j = _grid_join(t, keys, residual, hot_pairs, num_partitions)
         out = j if out is None else out.unionByName(j)
     return out
 
 
 # ------------------------------------------------------------------ C12
 def label_sample(pairs: DataFrame, path: str, fraction: float = 0.1, seed: int = 500,
-                 mode: str = "errorifexists", single_file: bool = True,
+                 mode: str = "errorifexists", single_file: bool = False,
                  split: str = "hash") -> DataFrame:
-    """U4 + S4: export a share of the candidate pairs as one CSV with header
+    """U4 + S4: export a share of the candidate pairs as CSV with header
     for manual labelling (read it back with ``catalog.read_pairs_csv``).
     ``mode="ignore"`` keeps an existing file and continues.  Returns the
     exported sample."""
@@ -173,7 +173,7 @@ def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lan
     df = _clean_pairs(pairs)
     tags = {c: F.col(f"_tags_{c}") for c in PAIR_COLS}
     if kind in ("simple", "broad"):
-        # per string once: sorted characters, then occurrence-tagged sets
+        # per pair and column once: sorted characters, then occurrence-tagged sets
         df = df.withColumns({f"_chars_{c}": S.sorted_chars(c) for c in PAIR_COLS}) \
             .withColumns({f"_tags_{c}": S.char_tags(c, F.col(f"_chars_{c}")) for c in PAIR_COLS}) \
             .drop(*[f"_chars_{c}" for c in PAIR_COLS])

@@ -1,10 +1,9 @@
 """Learning jobs on Spark ML.
 
 Estimators are distributed (tree statistics and gradients are aggregated
-across executors); only fitted parameters reach the driver.  The matcher
-persists its assembled data, which three fits and the scoring read, and
-``MatcherResult.release()`` frees it once the caller has consumed the
-results; a lost cached block is recomputed from lineage.
+across executors); only fitted parameters reach the driver.  The matcher stores
+its features, which three fits and the scoring read, as a table in the shared
+checkpoint folder, so nothing stays cached and a lost executor costs a read.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression)
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
 from gitquarry.operators.identity import PAIR_COLS
 from gitquarry.operators.sampling import bernoulli_sample, except_distinct, random_split
+from gitquarry.session import materialize
 from gitquarry.sources.catalog import load_logical
 
 
@@ -74,12 +73,6 @@ class MatcherResult:
     misclassified: DataFrame
     accuracy: DataFrame
     labels: list
-    cached: DataFrame | None = None
-
-    def release(self) -> None:
-        """Unpersist the cached training data (call after using the results)."""
-        if self.cached is not None:
-            self.cached.unpersist()
 
 
 def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier: str = "gbt",
@@ -88,10 +81,8 @@ def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier:
     """M2-M9: assemble, index labels and features on all rows (as the
     reference does), split, fit on the training part, score the rest."""
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="error")
-    data = asm.transform(features.select(*PAIR_COLS, label_col,
-                                         *[F.col(f"`{c}`").cast("double").alias(c)
-                                           for c in feature_cols]))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = asm.transform(materialize(features.select(
+        *PAIR_COLS, label_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in feature_cols]), "table"))
     label_idx = StringIndexer(inputCol=label_col, outputCol="indexedLabel").fit(data)
     feat_idx = VectorIndexer(inputCol="features", outputCol="indexedFeatures",
                              maxCategories=10).fit(data)
@@ -112,7 +103,7 @@ def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier:
     labels = list(label_idx.labels)
     return MatcherResult(preds, confusion_matrix(preds, labels, label_col=label_col),
                          misclassified(preds, label_col=label_col),
-                         accuracy(preds, label_col=label_col), labels, data)
+                         accuracy(preds, label_col=label_col), labels)
 
 
 # ------------------------------------------------------------------ labelled pairs
@@ -134,13 +125,14 @@ def rule_label(features_rules: DataFrame, keep_features: bool = False) -> DataFr
 
 # ------------------------------------------------------------------ C3
 def defect_prediction(entity_states: DataFrame, commits: DataFrame,
-                      pattern: str = BUGFIX_PATTERN, ce_type_like: str = "class") -> DataFrame:
+                      pattern: str = BUGFIX_PATTERN, ce_type_like: str = "class",
+                      registry: dict | None = None) -> DataFrame:
     """Logistic regression of the bug-fix flag on class metrics, trained
     and scored on the same rows (as the reference does).  Entities of
     commits whose message is null (flag null) cannot be labelled and are
     left out."""
     states = load_logical(entity_states, "code_entity_state",
-                          [["RID"], ["AbstractionLevel"], ["ProductMetric", "JavaClass"]]) \
+                          [["RID"], ["AbstractionLevel"], ["ProductMetric", "JavaClass"]], registry) \
         .select("commit_id", "metrics", "ce_type")
     labelled = commits.select(F.col("_id").alias("commit_id"),
                               is_bugfix("message", pattern).alias("bugfix"))
@@ -157,13 +149,14 @@ def defect_prediction(entity_states: DataFrame, commits: DataFrame,
 # ------------------------------------------------------------------ C11 / M11 / M12
 def size_regression(entity_states: DataFrame, response: str = "LOC",
                     predictors: Sequence[str] = ("WMC", "CBO"), fraction: float = 0.5,
-                    seed: int = 42, ce_type: str = "class", sample: str = "hash"):
+                    seed: int = 42, ce_type: str = "class", sample: str = "hash",
+                    registry: dict | None = None):
     """Gaussian GLM ``response ~ predictors`` fitted on a sample of the
     class metrics and applied to the rest (EXCEPT DISTINCT of the sample).
 
     Returns (coefficients DataFrame, predictions DataFrame)."""
     states = load_logical(entity_states, "code_entity_state",
-                          [["AbstractionLevel"], ["ProductMetric", "JavaClass"]])
+                          [["AbstractionLevel"], ["ProductMetric", "JavaClass"]], registry)
     selected = states.where(F.col("ce_type") == ce_type) \
         .select(*[F.col(f"metrics.{c}").alias(c) for c in [response, *predictors]])
     # a hash filter over one scan: cheaper to recompute for EXCEPT than to cache;

@@ -38,15 +38,15 @@ def developer_activities(catalog, fmt: str = MONTH_FORMAT, bugfix_only: bool = F
                                        catalog.load("commit"), fmt=fmt, bugfix_only=bugfix_only)
 
 
-def defect_prediction_example(catalog) -> DataFrame:
+def defect_prediction_example(catalog, registry: dict | None = None) -> DataFrame:
     """Logistic regression of the bug-fix flag on class metrics."""
-    return models.defect_prediction(catalog.load("code_entity_state"), catalog.load("commit"))
+    return models.defect_prediction(catalog.load("code_entity_state"), catalog.load("commit"), registry=registry)
 
 
-def size_prediction_example(catalog, fraction: float = 0.5, seed: int = 42):
+def size_prediction_example(catalog, fraction: float = 0.5, seed: int = 42, registry: dict | None = None):
     """GLM of LOC on WMC and CBO: (coefficients, prediction summary)."""
     coef, preds = models.size_regression(catalog.load("code_entity_state"), fraction=fraction,
-                                         seed=seed)
+                                         seed=seed, registry=registry)
     return coef, models.prediction_summary(preds)
 
 

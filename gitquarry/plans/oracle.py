@@ -157,13 +157,21 @@ def bug_inducing(match: str) -> str:
 
 # ---------------------------------------------------------------- identity
 PEOPLE_CTE = """
+person_t AS (
+  SELECT c_custkey AS k, c_custkey % 4 AS v,
+         translate(left(md5('f' || CAST(c_custkey // 4 AS VARCHAR)), 8), '0123456789', 'ghijklmnop') AS f,
+         translate(left(md5('l' || CAST(c_custkey // 4 AS VARCHAR)), 7), '0123456789', 'ghijklmnop') AS l
+  FROM customer),
+head_t AS (
+  SELECT *, CASE WHEN k < 60 THEN 'admin' WHEN k < 2000 AND k % 37 = 3 THEN 'é' ELSE f END AS h FROM person_t),
 people_t AS (
-  SELECT doc_id AS _id,
-         CASE WHEN doc_id % 41 = 0 THEN NULL
-              ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END AS name,
-         CASE WHEN doc_id % 17 = 0 THEN split_part(text, ' ', 3)
-              ELSE split_part(text, ' ', 3) || '@example.org' END AS email
-  FROM documents),
+  SELECT k AS _id,
+         CASE WHEN k % 41 = 0 THEN NULL WHEN v = 1 THEN l || ' ' || h
+              WHEN v = 2 THEN h || ' ' || left(l, 6) ELSE h || ' ' || l END AS name,
+         CASE WHEN k % 29 = 5 THEN 'list.' || f WHEN v = 0 THEN f || '.' || l WHEN v = 1 THEN l || f
+              WHEN v = 2 THEN left(f, 1) || l ELSE f || '-' || CAST(k AS VARCHAR) END
+         || CASE WHEN k % 17 = 0 THEN '' ELSE '@example.org' END AS email
+  FROM head_t),
 persons AS (
   SELECT * FROM (
     SELECT lower(regexp_replace(split_part(email, '@', 1), '[^a-zA-Z]', '', 'g')) AS "Prefix",

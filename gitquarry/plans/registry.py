@@ -129,20 +129,19 @@ def q_balanced_sample(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_rule_confusion(spark: SparkSession, root: str) -> DataFrame:
-    simple = _features(spark, root, "simple")
+    simple = identity.pair_features(_labelled(spark, root), "simple")
     pred = F.when((F.col("f2") >= 0.85) & (F.col("f3") >= 0.85), "T") \
         .when(F.greatest("f4", "f5", "f6") < 0.5, "F").otherwise("U")
-    scored = _labelled(spark, root).join(simple.select(*identity.PAIR_COLS, pred.alias("predictedLabel")),
-                                         identity.PAIR_COLS)
-    return models.confusion_matrix(scored, ["T", "F", "U"])
+    return models.confusion_matrix(simple.select("Label", pred.alias("predictedLabel")), ["T", "F", "U"])
 
 
 def _matcher(spark, root, kind, classifier, labels, balanced=False):
-    lab = _labelled(spark, root)
+    # the rules features are those that the label is made from: computed once
+    lab = models.rule_label(_features(spark, root, "rules"), keep_features=kind == "rules")
     if balanced:
-        lab = sampling.balanced_sample(lab, "Label", PER_LABEL, BALANCE_SEED)
+        lab = sampling.balanced_sample(lab, "Label", PER_LABEL, BALANCE_SEED, cols=[*identity.PAIR_COLS, "Label"])
     lab = lab.where(F.col("Label").isin(*labels))
-    feats = identity.pair_features(lab, kind).na.fill(0.0)
+    feats = (lab if kind == "rules" else identity.pair_features(lab, kind)).na.fill(0.0)
     seed = 90891
     return models.train_matcher(feats, identity.FEATURE_ORDER[kind], classifier, seed=seed)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,22 +60,40 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         if not spark.sparkContext.master.startswith("local"):
             return None
         configured = tempfile.mkdtemp(prefix="gitquarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        delete_on_exit(spark, f"file://{configured}")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM remove ``path`` when it ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df, how: str | None):
     """Cut or keep a reused intermediate result.
 
     ``"checkpoint"`` writes it to the shared folder named by
     ``spark.checkpoint.dir`` (reliable: survives the loss of executors and
     cuts the lineage; on a cluster without that setting the result is left
-    to exchange reuse instead); ``"persist"`` caches it in memory and on
+    to exchange reuse instead); ``"table"`` does so by a Parquet table, which
+    computes the result once and goes when the driver's JVM ends;
+    ``"persist"`` caches it in memory and on
     local disk (recomputed from lineage if an executor is lost); ``None``
     leaves it to Spark's exchange reuse.
     """
     if how is None:
         return df
+    if how == "table":
+        spark = df.sparkSession
+        root = checkpoint_dir(spark)
+        if root is None:
+            return df
+        path = f"{root.rstrip('/')}/gitquarry-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        delete_on_exit(spark, path)
+        return spark.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         if checkpoint_dir(df.sparkSession) is None:
             return df
@@ -82,4 +101,4 @@ def materialize(df, how: str | None):
     if how == "persist":
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    raise ValueError("how must be None, 'persist' or 'checkpoint'")
+    raise ValueError("how must be None, 'persist', 'table' or 'checkpoint'")

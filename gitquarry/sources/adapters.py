@@ -14,7 +14,7 @@ source table, so the registered queries scale with the scale factor.
 | file_action, hunk  | events            |
 | message            | events (view/click/signup) or orders            |
 | issue_comment      | events (error/purchase) or lineitem             |
-| people             | documents         |
+| people             | customer          |
 | code_entity_state  | lineitem          |
 """
 
@@ -136,22 +136,34 @@ def volume_commits(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _word(i: int) -> F.Column:
-    # i-th space-separated word; cut the text first so only its head is split
-    return F.split_part(F.substring_index("text", " ", i), F.lit(" "), F.lit(i))
-
-
-def people(documents: DataFrame) -> DataFrame:
-    """people: name from words 1-2 and mailbox from word 3 of a document;
-    some names are null and some e-mails lack an '@'."""
-    name = F.when(F.col("doc_id") % 41 == 0, F.lit(None).cast("string")) \
-        .otherwise(F.concat(_word(1), F.lit(" "), _word(2)))
-    email = F.when(F.col("doc_id") % 17 == 0, _word(3)) \
-        .otherwise(F.concat(_word(3), F.lit("@example.org")))
-    return documents.select(
-        F.col("doc_id").alias("_id"), name.alias("name"), email.alias("email"),
-        F.col("source").alias("username"),
-    )
+def _letters(tag: str, n: int) -> F.Column:
+    # n letters a-p from the person's number
+    person = F.expr("c_custkey div 4").cast("string")
+    return F.translate(F.substring(F.md5(F.concat(F.lit(tag), person)), 1, n), "0123456789", "ghijklmnop")
+
+
+def people(customer: DataFrame) -> DataFrame:
+    """people: four records of each person (a customer number div 4), which
+    write the name and the mailbox differently, so blocks stay small at any
+    scale.  Some names are null, some e-mails lack an '@', some mailboxes hold
+    a denylisted word, and two blocks of a fixed size share a first name
+    (``admin``, and one without Latin letters)."""
+    key, variant = F.col("c_custkey"), F.col("c_custkey") % 4
+    first, last = _letters("f", 8), _letters("l", 7)
+    head = F.when(key < 60, F.lit("admin")).when((key < 2000) & (key % 37 == 3), F.lit("\u00e9")).otherwise(first)
+    name = F.when(key % 41 == 0, F.lit(None).cast("string")) \
+        .when(variant == 1, F.concat(last, F.lit(" "), head)) \
+        .when(variant == 2, F.concat(head, F.lit(" "), F.substring(last, 1, 6))) \
+        .otherwise(F.concat(head, F.lit(" "), last))
+    box = F.when(key % 29 == 5, F.concat(F.lit("list."), first)) \
+        .when(variant == 0, F.concat(first, F.lit("."), last)) \
+        .when(variant == 1, F.concat(last, first)) \
+        .when(variant == 2, F.concat(F.substring(first, 1, 1), last)) \
+        .otherwise(F.concat(first, F.lit("-"), key.cast("string")))
+    return customer.select(
+        key.alias("_id"), name.alias("name"),
+        F.when(key % 17 == 0, box).otherwise(F.concat(box, F.lit("@example.org"))).alias("email"),
+        F.col("c_mktsegment").alias("username"))
 
 
 def code_entity_states(lineitem: DataFrame) -> DataFrame:
@@ -203,7 +215,7 @@ class RepoTables:
         return issue_comments(self.t("events"))
 
     def people(self):
-        return people(self.t("documents"))
+        return people(self.t("customer"))
 
     def code_entity_states(self):
         return code_entity_states(self.t("lineitem"))

@@ -72,27 +72,32 @@ def load_logical(df: DataFrame, table: str, requested: Sequence[Sequence[str]],
     """Project ``df`` to the fields whose logical type matches one of
     ``requested`` (each a type path such as ``["ProductMetric", "JavaClass"]``).
 
-    Nested fields are rebuilt as structs with their surviving members, so
-    ``metrics`` keeps the name and shape downstream operators expect.  The
-    registry is schema metadata only; no data reaches the driver, and the
-    result is a plain projection that Catalyst pushes into the scan.
+    Nested fields, at any depth, are rebuilt as structs with their surviving
+    members, so ``metrics`` keeps the name and shape downstream operators
+    expect.  The registry is schema metadata only; no data reaches the driver,
+    and the result is a plain projection that Catalyst pushes into the scan.
+    A member of a registered struct that the registry doesn't know is an
+    error: dropping it would lose a metric without a word.
     """
-    registry = registry or LOGICAL_TYPES
+    fields = dict((registry or LOGICAL_TYPES)[table])
     present = set(_leaf_paths(df.schema))
-    top: dict[str, list[str]] = {}
-    for path, type_path in registry[table]:
+    structs = {path[:i] for path in fields for i in range(len(path)) if path[i] == "."}
+    unknown = sorted(path for path in present if path not in fields and path not in structs
+                     and any(path.startswith(s + ".") for s in structs))
+    if unknown:
+        raise ValueError(f"{table}: the registry has no logical type for {', '.join(unknown)}")
+    tree: dict = {}
+    for path, type_path in fields.items():
         if path in present and _wanted(type_path, requested):
-            head, _, rest = path.partition(".")
-            top.setdefault(head, [])
-            if rest:
-                top[head].append(rest)
-    cols = []
-    for head, members in top.items():
-        if members:
-            cols.append(F.struct(*[F.col(f"{head}.{m}").alias(m) for m in members]).alias(head))
-        else:
-            cols.append(F.col(head))
-    return df.select(*cols)
+            node = tree
+            for part in path.split("."):
+                node = node.setdefault(part, {})
+    return df.select(*_rebuilt(tree, ""))
+
+
+def _rebuilt(tree: dict, prefix: str) -> list:
+    return [F.struct(*_rebuilt(members, f"{prefix}{name}.")).alias(name) if members
+            else F.col(prefix + name).alias(name) for name, members in tree.items()]
 
 
 def _leaf_paths(schema: T.StructType, prefix: str = "") -> Iterable[str]:
@@ -162,13 +167,15 @@ def _snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 
 
-def read_document_dump(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_document_dump(spark: SparkSession, path: str, schema: T.StructType,
+                       mode: str = "FAILFAST") -> DataFrame:
     """JSON-lines dump in extended form -> flat snake-case columns.
 
     ``{"$oid": s}`` becomes the string ``s``; ``{"$date": s}`` a timestamp;
-    arrays of ids become arrays of strings.
+    arrays of ids become arrays of strings.  A line that is no document is an
+    error (``mode="PERMISSIVE"`` reads it as a row of nulls).
     """
-    raw = spark.read.schema(schema).json(path)
+    raw = spark.read.schema(schema).option("mode", mode).json(path)
     cols = []
     for field in schema.fields:
         c = F.col(f"`{field.name}`")

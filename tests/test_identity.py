@@ -45,8 +45,8 @@ def test_candidate_pairs_match_brute_force_and_are_symmetric(spark):
     triples += triples[:5]  # duplicates
     df = spark.createDataFrame(triples, "Prefix string, Firstname string, Lastname string")
     for mode in ("two_of_three", "one_or_two"):
-        for hot in (1_000_000, 1):  # hot_pairs=1 salts every key with two rows or more
-            got = [tuple(r) for r in candidate_pairs(df, mode, hot_pairs=hot, salt_buckets=3).collect()]
+        for hot in (1_000_000, 9, 1):  # hot_pairs=1 gives each pair of a key its own cell
+            got = [tuple(r) for r in candidate_pairs(df, mode, hot_pairs=hot).collect()]
             assert len(got) == len(set(got))
             assert set(got) == _brute_pairs(triples, mode)
             assert {g[3:] + g[:3] for g in got} == set(got)

@@ -6,33 +6,28 @@ from gitquarry.operators.inducing import fix_to_inducing
 
 
 def brute_force(commits, fas, hunks, match):
-    """The reference's fold, with rows ordered by (file_action, old_start, old_lines)."""
+    """The rule, stated per fix: each of its hunks that has an earlier commit
+    on its file bounds a region; of all earlier commits inside a region the
+    one with the latest date (then the lowest id) is the answer."""
     import re
     pat = re.compile(r"(?i)fix(e[ds])?|bugs?|defects?|patch")
-    c = {cid: (d, msg is not None and bool(pat.search(msg))) for cid, d, msg in commits}
-    fa = {fid: (file_id, cid) for fid, file_id, cid in fas}
-    rows = []
-    for fid, ns, os_, ol in hunks:
-        file_id, cid = fa[fid]
-        rows.append(dict(cid=cid, d=c[cid][0], fix=c[cid][1], fa=fid, f=file_id, ns=ns, os=os_, ol=ol))
+    dates = {cid: d for cid, d, _ in commits}
+    fixes = {cid for cid, _, msg in commits if msg and pat.search(msg)}
+    place = {fid: (file_id, cid) for fid, file_id, cid in fas}
+    touched = [(place[fid][0], place[fid][1], ns) for fid, ns, _, _ in hunks]
     out = {}
-    for cid in sorted({r["cid"] for r in rows if r["fix"]}):
-        own = sorted((r for r in rows if r["cid"] == cid), key=lambda r: (r["fa"], r["os"], r["ol"]))
-        joined = [(r, o) for r in own for o in rows if o["f"] == r["f"] and r["d"] > o["d"]]
-        if not joined:
+    for fix in fixes:
+        before = {f: [(dates[c], -c, ns) for g, c, ns in touched if g == f and dates[c] < dates[fix]]
+                  for f, _, _ in touched}
+        rows = sorted((fid, os_, ol) for fid, _, os_, ol in hunks
+                      if place[fid][1] == fix and before[place[fid][0]])
+        if not rows:
             continue
-        start = length = -1
-        best = None
-        for r, o in joined:
-            if match == "per_hunk":
-                start, length = r["os"], r["ol"]
-            elif start == -1:
-                start, length = r["os"], r["ol"]
-            if o["ns"] <= start + length:
-                key = (o["d"], -o["cid"])
-                if best is None or key > best:
-                    best = key
-        out[cid] = None if best is None else -best[1]
+        anchor = next((r for r in rows if r[1] != -1), None) if match == "first_hunk" else None
+        bounds = [(place[r[0]][0], r[1] + r[2] if anchor is None or r < anchor else anchor[1] + anchor[2])
+                  for r in rows]
+        inside = [(d, c) for f, bound in bounds for d, c, ns in before[f] if ns <= bound]
+        out[fix] = -max(inside)[1] if inside else None
     return out
 
 

@@ -39,4 +39,4 @@ def test_identity_jobs(catalog, tmp_path, algorithm):
     conf = out.matcher.confusion.collect()
     assert len(conf) == len(out.matcher.labels) ** 2
     assert sum(r.n for r in conf) == out.matcher.predictions.count()
-    out.matcher.release()
+    assert not list(out.matcher.predictions.sparkSession.sparkContext._jsc.getPersistentRDDs())

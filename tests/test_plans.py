@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from gitquarry.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -11,9 +12,9 @@ ML = {"matcher_simple_gbt", "matcher_broad_gbt", "matcher_rules_tree", "matcher_
       "size_regression_coefficients"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - ML))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ML))
 def test_no_cross_or_nested_loop_join(spark, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for op in FORBIDDEN:
         assert op not in plan, (name, op)

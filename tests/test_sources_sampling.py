@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gitquarry.operators.sampling import balanced_sample, except_distinct, hash_split
@@ -106,3 +108,20 @@ def test_label_sample_round_trip(spark, tmp_path):
     back = read_pairs_csv(spark, out)
     assert back.count() == sample.count() == again.count()
     assert back.where(F.col("Label").isNotNull()).count() == 0
+
+
+def test_unknown_metrics_are_an_error_and_all_known_ones_stay(spark):
+    from gitquarry.operators.models import struct_to_features
+    df = spark.sql("SELECT 1L AS _id, 2L AS commit_id, 3L AS file_id, 'class' AS ce_type, 'x' AS long_name, "
+                   "named_struct('LOC', 1.0D, 'WMC', 2.0D, 'RFC', 3.0D, 'deep', named_struct('DIT', 4.0D)) AS metrics")
+    wanted = [["RID"], ["ProductMetric", "JavaClass"]]
+    with pytest.raises(ValueError, match="metrics.RFC"):
+        load_logical(df, "code_entity_state", wanted)
+    kind = ("ProductMetric", "JavaClass")
+    registry = {"code_entity_state": [("_id", ("RID",)), ("metrics.LOC", kind), ("metrics.WMC", kind), ("metrics.RFC", kind),
+                                      ("metrics.deep.DIT", kind)]}
+    out = load_logical(df, "code_entity_state", wanted, registry)
+    assert out.select("metrics.LOC", "metrics.RFC", "metrics.deep.DIT").first() == (1.0, 3.0, 4.0)
+    registry["code_entity_state"].remove(("metrics.deep.DIT", kind))
+    flat = load_logical(df.withColumn("metrics", F.col("metrics").dropFields("deep")), "code_entity_state", wanted, registry)
+    assert struct_to_features(flat, "metrics").first().features.size == 3
