@@ -12,9 +12,8 @@ sequences, the last of them into powers of two, which need no padding.
 
 Scale: one pass over the documents without any shuffle.  A worker holds at most
 one open bin per class.  Ids of sequences combine partition and place, so a
-repeated task gives the same rows.  Words are tokenised once and kept by the worker, over
-tasks, in a bounded table; tokens of a text are those of its words, as the vocabulary's
-pre-tokeniser never joins across white space.
+repeated task gives the same rows.  Pieces of words are tokenised once and kept by the worker,
+over tasks, in a bounded table; the vocabulary's merges never cross its pre-tokeniser's pieces.
 
 Defined cases: a null or empty text is the single end id.  Rows repeating a
 doc_id are packed each.  A null doc_id is carried.  Further columns are
@@ -40,7 +39,7 @@ from gitquarry.llm.common import batches, texts, worker_state
 CAPACITY = 2048
 CLASSES = 16
 END_ID = 1
-_MOST_WORDS = 800_000
+_MOST_PIECES = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,31 +52,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Numbers(dict):
-    """Numbers words in the order in which they are first looked up."""
+    """Numbers keys in the order in which they are first looked up."""
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
         return number
 
 
-class WordTokens:
-    """Token ids of texts.  A text's ids are those of its words, and a word's
-    ids those of the pieces into which the vocabulary's pre-tokeniser cuts it;
-    both are remembered, ``most`` of each.  Words beyond Latin-1, and those
-    that may hold a special token, go through the whole tokeniser."""
+class PieceTokens:
+    """Token ids of texts.  A text's ids are those of the pieces into which
+    the vocabulary's pre-tokeniser cuts it, and each piece is tokenised once
+    and remembered, ``most`` of them.  Words beyond Latin-1, and those that may
+    hold a special token, are pieces of their own for the whole tokeniser."""
 
     # The vocabulary's pieces, for lower-case letters and digits of Latin-1.
     _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-    _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
-    _PLAIN = re.compile("(?:(?!<\\|)[\x21-\x7e\xa1-\xff])*")
+    _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}\t-\r\x20]+")
+    _ODD = re.compile("<\\||[^\t-\r\x20-\x7e\xa1-\xff]")
+    _WHOLE = "\x00"  # marks a word for the whole tokeniser
 
-    def __init__(self, path: str, most: int = _MOST_WORDS):
+    def __init__(self, path: str, most: int = _MOST_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces_only = Tokenizer(self.tokenizer.model)
         self.pieces_only.pre_tokenizer = WhitespaceSplit()
-        self.letters = _byte_letters()
+        self.letters = _byte_letters() | {32: " "}
         self.most = most
-        self.pieces: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -86,52 +85,46 @@ class WordTokens:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def _learn_pieces(self, missing: list[str]) -> None:
-        found = self.pieces_only.encode(" ".join(missing).translate(self.letters | {32: " "}), add_special_tokens=False)
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing)), side="right") * 4
-        ids, at = np.array(found.ids, np.int32).tobytes(), 0
-        for piece, end in zip(missing, ends.tolist(), strict=True):
-            self.pieces[piece] = ids[at:end]
-            at = end
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as 32-bit integers."""
-        cut, whole, plain, find = [], [], self._PLAIN.fullmatch, self._PIECES.findall
-        for word in words:
-            text = word.decode()
-            cut.append(find(text.lower()) if plain(text) else text)
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        held = self.pieces
-        if missing := {p: None for pieces in cut if type(pieces) is list for p in pieces if p not in held}:
-            self._learn_pieces(list(missing))
-        if whole := [text for text in cut if type(text) is str]:
-            found = (np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        return [(held[c[0]] if len(c) == 1 else b"".join([held[p] for p in c])) if type(c) is list else next(found) for c in cut]
+    def _pieces(self, text: bytes) -> list[str]:
+        whole = text.decode()
+        if not self._ODD.search(whole):
+            return self._PIECES.findall(whole.lower())
+        out: list[str] = []
+        for word in map(bytes.decode, text.split()):
+            out += [self._WHOLE + word] if self._ODD.search(word) else self._PIECES.findall(word.lower())
+        return out
+
+    def _put(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def learn(self) -> None:
-        """The ids of the words that have a number but no ids yet."""
-        words = list(islice(reversed(self.number), len(self.number) - self.known))[::-1]
-        ids = self._ids(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        total = int(lengths.sum())
-        while self.known + len(words) > len(self.starts):
+        """The ids of the keys that have a number but no ids yet."""
+        keys = list(islice(reversed(self.number), len(self.number) - self.known))[::-1]
+        while len(self.number) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        here = slice(self.known, self.known + len(words))
-        self.starts[here] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[here] = lengths
-        self.pool[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.int32)
-        self.known += len(words)
-        self.used += total
+        numbers = np.arange(self.known, len(self.number))
+        whole = np.fromiter((k[0] == self._WHOLE for k in keys), bool, len(keys))
+        if whole.any():
+            found = self.tokenizer.encode_batch_fast([k[1:] for k in keys if k[0] == self._WHOLE], add_special_tokens=False)
+            lengths = np.array([len(e.ids) for e in found])
+            self._put(numbers[whole], lengths, np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, lengths.sum()))
+            numbers, keys = numbers[~whole], [k for k in keys if k[0] != self._WHOLE]
+        if keys:
+            found = self.pieces_only.encode(" ".join(keys).translate(self.letters), add_special_tokens=False)
+            self._put(numbers, np.bincount(np.array(found.word_ids, np.int64), minlength=len(keys)), np.array(found.ids, np.int32))
+        self.known = len(self.number)
 
     def encode(self, some: list[bytes]) -> list[np.ndarray]:
         if self.known > self.most:
             self.forget()
-        split = [t.split() for t in some]
-        counts = list(map(len, split))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        pieces = [self._pieces(t) for t in some]
+        counts = list(map(len, pieces))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
         if len(self.number) > self.known:
             self.learn()
         lengths = self.lengths[at]
@@ -207,7 +200,7 @@ class Packer:
 
 def _pack(vocabulary: str, capacity: int, classes: int):
     def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = worker_state(("tokens", vocabulary), lambda: WordTokens(vocabulary))
+        tokens = worker_state(("tokens", vocabulary), lambda: PieceTokens(vocabulary))
         packer = Packer(capacity, classes)
         sequence = TaskContext.get().partitionId() << 40
         id_type, rows = pa.int64(), []

@@ -19,12 +19,12 @@ from tests.llm.test_dedup import slow_fingerprint, slow_groups
 from tests.llm.test_scans import slow_contamination
 
 
-def test_word_tokens_equal_the_tokenisers():
+def test_piece_tokens_equal_the_tokenisers():
     r = random.Random(3)
     letters = "abcABC ÀÉßµªº²½×÷' 's're'll'd!!$$&*.,<|endoftext|><|İ́Å　 \x1c\x1d\x85\x0b\t\n09ſΣς漢字é한\U0001F600‍­\x01\x7f"
     some = ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(3000)] + [t or "" for t in texts(8)]
     some += ["<|endoftext|>", "a<|endoftext|>b", "<|startoftext|> x"]
-    whole, mine = Tokenizer.from_file(VOCABULARY), packing.WordTokens(VOCABULARY, most=500)
+    whole, mine = Tokenizer.from_file(VOCABULARY), packing.PieceTokens(VOCABULARY, most=500)
     for i in range(0, len(some), 50):
         part = some[i:i + 50]
         for ids, e in zip(mine.encode([t.encode() for t in part]), whole.encode_batch(part, add_special_tokens=False)):
