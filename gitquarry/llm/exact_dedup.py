@@ -137,7 +137,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = identities(docs, id_col, text_col, block_bytes, hash_bits)
     same = rows["doc_id"].eqNullSafe(known["doc_id"]) & (rows["text_key"] == known["text_key"])
     members = stored(rows.join(known, same).select(rows["doc_id"], rows["text_key"], "text_sha256", "round", "name"))
-    groups = members.groupBy("round", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored, so that both sides of the join are plain exchanges, whose hot keys adaptive execution splits
+    groups = stored(members.groupBy("round", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return (members.join(groups, ["round", "name"])
             .select("doc_id", "text_key", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
