@@ -136,12 +136,13 @@ def q_rule_confusion(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _matcher(spark, root, kind, classifier, labels, balanced=False):
-    # the rules features are those that the label is made from: computed once
-    lab = models.rule_label(_features(spark, root, "rules"), keep_features=kind == "rules")
     if balanced:
-        lab = sampling.balanced_sample(lab, "Label", PER_LABEL, BALANCE_SEED, cols=[*identity.PAIR_COLS, "Label"])
-    lab = lab.where(F.col("Label").isin(*labels))
-    feats = (lab if kind == "rules" else identity.pair_features(lab, kind)).na.fill(0.0)
+        lab = sampling.balanced_sample(_labelled(spark, root), "Label", PER_LABEL, BALANCE_SEED)
+        feats = identity.pair_features(lab, kind)
+    else:  # the rules features are those that the label is made from: computed once
+        lab = models.rule_label(_features(spark, root, "rules"), keep_features=kind == "rules")
+        feats = lab if kind == "rules" else identity.pair_features(lab, kind)
+    feats = feats.where(F.col("Label").isin(*labels)).na.fill(0.0)
     seed = 90891
     return models.train_matcher(feats, identity.FEATURE_ORDER[kind], classifier, seed=seed)
 
