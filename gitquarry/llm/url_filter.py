@@ -4,7 +4,8 @@ Fixed rules come first: a rule fits its host and all subdomains if the url's
 path starts with the rule's path, and the longest fitting rule decides.  Their
 verdicts are the labels from which Spark's FP-growth mines combinations of url
 tokens that go with ``block`` or ``allow``.  Mined rules are pruned by support,
-by confidence, and where a rule over fewer tokens is as confident.  They match
+by confidence, and where a rule over a part of their tokens is as confident;
+there is no other cut, neither of their number nor of their length.  They match
 other urls by an inverted index: each mined rule is listed under its rarest
 token, urls look their tokens up, and the rest of the rule's tokens is checked.
 The most confident mined rule decides (then support, then token order); a
@@ -14,9 +15,12 @@ Tokens: scheme, host labels (with their distance from the right end), path
 segments with digits made ``0``, file endings, names of query fields, and
 whether there is a fragment.
 
-Scale: FP-growth mines over all labelled urls in parallel.  ``max_rules``
-bounds the mined rules, so the index is broadcast and urls are not shuffled
-for it; matches are reduced per url.  Hosts are no key of any shuffle.
+Scale: FP-growth mines over all labelled urls in parallel.  How many token
+sets reach the support does not depend on the number of urls, but doubles with
+each token that a group of that size has in common.  Rules are pruned and
+looked up by equi-joins, so neither they nor the index need fit one machine;
+Spark broadcasts a small index by itself, and then urls are not shuffled for
+it.  Matches are reduced per url.  Hosts are no key of any shuffle.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 no tokens, so it is allowed.  Rows repeating a page_id are judged each; a null
@@ -36,8 +40,6 @@ from gitquarry.llm.common import stored
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 3
-MAX_RULES = 1000
 _LABEL = "verdict="
 
 
@@ -99,13 +101,23 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", F.array_distinct(found)).otherwise(none)
 
 
+def _under_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, mined): each rule under its rarest token; counts: (token, count)."""
+    listed = (rules.withColumn("token", F.explode("tokens")).join(counts, "token")
+              .groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("count", "token")).alias("rarest")))
+    return listed.select(F.col("rarest.token").alias("token"),
+                         F.struct("confidence", "support", F.col("tokens").alias("body"), "verdict").alias("mined"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> DataFrame:
+         max_tokens: int | None = None, max_rules: int | None = None) -> DataFrame:
     """labelled: (tokens, verdict).  Rules (tokens, verdict, confidence,
-    support), at most ``max_rules``, the most confident first."""
+    support).  A caller may ask for rules of ``max_tokens`` tokens at most, and
+    for the ``max_rules`` most confident of those that pruning leaves."""
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.size("items") <= max_tokens + 1))
+    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    sets = stored(sets if max_tokens is None else sets.where(F.size("items") <= max_tokens + 1))
     is_label = lambda x: x.startswith(_LABEL)
     bodies = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
     heads = sets.where(F.exists("items", is_label) & (F.size("items") > 1)).select(
@@ -114,22 +126,26 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     total = items.count()
     rules = stored(heads.join(bodies, "tokens").select(
         "tokens", "verdict", (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / total).alias("support"))
-        .where(F.col("confidence") >= min_confidence)
-        .orderBy(F.desc("confidence"), F.desc("support"), "tokens", "verdict").limit(max_rules))
-    # a rule says nothing that one over a part of its tokens doesn't say as surely
-    parts = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"),
-                         F.element_at("tokens", 1).alias("key"))
-    keyed = rules.select("*", F.explode("tokens").alias("key"))
-    weaker = (keyed.join(F.broadcast(parts), "key")
-              .where((F.col("verdict") == F.col("part_verdict")) & (F.size("part") < F.size("tokens"))
-                     & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("part_confidence") >= F.col("confidence")))
+        .where(F.col("confidence") >= min_confidence))
+    # a rule says nothing that one over a part of its tokens doesn't say as surely: first parts of one token less ...
+    parts = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("part_confidence"))
+    less = rules.withColumn("part", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))))
+    weaker = less.join(parts, ["part", "verdict"]).where("part_confidence >= confidence").select("tokens", "verdict").distinct()
+    rules = stored(rules.join(weaker, ["tokens", "verdict"], "left_anti"))
+    # ... then of any size; what a pruned part covers, the part that covers it covers too
+    counts = bodies.where(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"), F.col("all").alias("count"))
+    weaker = (rules.withColumn("token", F.explode("tokens")).join(_under_rarest(rules, counts), "token")
+              .where((F.col("verdict") == F.col("mined.verdict")) & (F.size("mined.body") < F.size("tokens"))
+                     & (F.size(F.array_except("mined.body", "tokens")) == 0) & (F.col("mined.confidence") >= F.col("confidence")))
               .select("tokens", "verdict").distinct())
-    return stored(rules.join(weaker, ["tokens", "verdict"], "left_anti"))
+    rules = rules.join(weaker, ["tokens", "verdict"], "left_anti")
+    return stored(rules if max_rules is None else rules.orderBy(
+        F.desc("confidence"), F.desc("support"), "tokens", "verdict").limit(max_rules))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES,
-          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS,
-          max_rules: int = MAX_RULES) -> DataFrame:
+          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = None,
+          max_rules: int | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule (the fixed
     rule's name or null), verdict, and tokens and confidence of the mined
     rule that decided."""
@@ -141,12 +157,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     mined = mine(labelled, min_support, min_confidence, max_tokens, max_rules)
     # each mined rule stands in the index under its rarest token
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    listed = (mined.withColumn("token", F.explode("tokens")).join(counts, "token")
-              .groupBy("tokens", "verdict", "confidence", "support").agg(F.min(F.struct("count", "token")).alias("rarest")))
-    index = stored(listed.select(F.col("rarest.token").alias("token"),
-                                 F.struct("confidence", "support", F.col("tokens").alias("body"), "verdict").alias("mined")))
+    index = stored(_under_rarest(mined, counts))
     open_rows = rows.where("fixed IS NULL").select("page_id", "url", "tokens")
-    best = (open_rows.select("*", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    best = (open_rows.select("*", F.explode("tokens").alias("token")).join(index, "token")
             .where(F.size(F.array_except("mined.body", "tokens")) == 0)
             .groupBy("page_id", "url").agg(F.max("mined").alias("best"))
             .select(F.col("page_id").alias("best_id"), F.col("url").alias("best_url"), "best"))

@@ -193,6 +193,17 @@ def test_mined_rules_against_brute_force(spark):
     assert got == want and any("bad" in body for body, v in got if v == "block")
 
 
+def test_no_mined_rule_is_cut_by_number_or_length(spark):
+    """1,400 rules of up to three tokens with confidence 1 that shorter ones cover, a less confident rule, and one of four tokens."""
+    rows = [([f"g{g}t{i}" for i in range(10)], "block") for g in range(8)] * 10
+    rows += [(["shop"], "allow")] * 9 + [(["shop"], "block")] + [(list("abcd"), "block")] * 10
+    rows += [([x for x in "abcd" if x != y], "allow") for y in "abcd"] * 10
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(x.tokens), x.verdict): x.confidence for x in url_filter.mine(labelled, 0.01, 0.8).collect()}
+    assert got.pop((("shop",), "allow")) == 0.9 and got.pop((tuple("abcd"), "block")) == 1.0
+    assert got == {((f"g{g}t{i}",), "block"): 1.0 for g in range(8) for i in range(10)}
+
+
 def test_mined_rules_decide(spark):
     """Urls that no fixed rule fits get the verdict of the most confident mined rule whose tokens they hold."""
     r = random.Random(6)
