@@ -15,9 +15,9 @@ its most toxic ``span`` consecutive words, as a few words decide about a long
 text.  A logistic curve of both, fitted on labelled rows that the models have
 not seen, gives the score.
 
-Bounds: ``max_rows`` labelled rows of each class are used (those with the
-smallest hashes of doc_id; as many of either class), a quarter of them for the
-curve.  A model keeps ``max_ngrams`` words and bigrams at most, those that
+Bounds: ``max_rows`` labelled rows of each class at most are used (those with
+the smallest hashes of doc_id; all of a smaller class), a quarter of them for
+the curve, where each class weighs as much as among all labelled rows.  A model keeps ``max_ngrams`` words and bigrams at most, those that
 differ most clearly.  Hence the sample's ids and the model have fixed greatest
 sizes and are broadcast.  The shared counts are taken over all documents.
 
@@ -141,13 +141,11 @@ def _features(model: Model):
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(label, doc_id, text, part) of at most ``max_rows`` labelled rows of
-    each class, as many of either; a quarter of them has part 3."""
+    each class, whatever the other's size; a quarter of them has part 3."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         "doc_id IS NOT NULL AND label IN (0, 1)")
     rows = rows.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")))
-    sizes = {label: min(n, max_rows) for label, n in rows.groupBy("label").count().collect()}
-    n = min(sizes.get(0, 0), sizes.get(1, 0))
-    chosen = [rows.where(F.col("label") == label).orderBy("place", "doc_id").limit(n) for label in (0, 1)]
+    chosen = [rows.where(F.col("label") == label).orderBy("place", "doc_id").limit(max_rows) for label in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).withColumn("part", F.pmod("place", F.lit(4)))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return stored(source.join(F.broadcast(sample), "doc_id").select("label", "doc_id", "text", "part"))
@@ -234,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
     points = (training.where("part = 3").select("label", "text").mapInArrow(_features(model), "label int, ratios array<double>")
               .select(F.col("label").cast("double").alias("label"), array_to_vector("ratios").alias("features"),
-                      F.when(F.col("label") == 1, F.lit(toxic)).otherwise(F.lit(1 - toxic)).alias("weight")))
+                      F.when(F.col("label") == 1, F.lit(toxic / classes[1, True])).otherwise(F.lit((1 - toxic) / classes[0, True])).alias("weight")))
     fitted = LogisticRegression(maxIter=50, regParam=1e-3, weightCol="weight").fit(points)
     model.curve = (float(fitted.intercept), *map(float, fitted.coefficients))
     return model

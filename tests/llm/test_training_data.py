@@ -168,6 +168,16 @@ def test_toxicity_without_labels(spark):
         assert [round(r.score, 6) for r in toxicity.score(docs, toxicity.train(docs, table)).collect()] == [want, want]
 
 
+def test_toxicity_takes_rows_of_each_class_by_itself(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    taken = toxicity.training_rows(docs, labels, 40, "doc_id", "text", "toxic").groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in taken} == {0: 40, 1: 30}
+    # texts that tell nothing get the share of toxic rows among all labelled ones, not among the taken
+    got = toxicity.score(docs, toxicity.train(docs, labels, max_rows=40)).first().score
+    assert abs(got - 0.1) < 0.01
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage against brute force on what its predecessor kept."""
     rows, labels = toxic_corpus(spark, 500)
