@@ -24,20 +24,18 @@ Semantics kept, with the order the reference leaves open made explicit:
 Plan: the predecessor side is reduced to one row per (file, commit) with
 its minimum ``new_start`` (sufficient, as the test is one-sided); the fix
 side to one query per (fix commit, file) with its widest bound.  The
-search itself is ``dominance.latest_before_under`` (no pairing of rows
-within a file), followed by an equi-join on (file, date) that only meets
-predecessors tied on the winning date.
+search itself is ``dominance.latest_before_under``: no pairing of rows
+within a file, and the winning commit's id comes with its date.  Building
+the result starts no job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
-from gitquarry.operators.dominance import DEFAULT_BUCKET_SECONDS, latest_before_under, time_key
-from gitquarry.session import materialize
+from gitquarry.operators.dominance import latest_before_under, span_of
 
 MATCH_MODES = ("first_hunk", "per_hunk")
 
@@ -72,82 +70,25 @@ def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFram
     return fixes.groupBy("commit_id", "file_id", "cdate").agg(F.max(bound).alias("bound"))
 
 
-DEFAULT_BUCKET_ROWS = 1_000_000
-
-
-def bucket_width(commits: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> float:
-    """Seconds per time bucket such that a bucket holds about
-    ``bucket_rows`` commits of *all* files together (span x rows / count).
-
-    Any single file, however hot, then has at most that many commits per
-    bucket on average, so the windows of the search stay bounded at any
-    scale; small inputs get one bucket and no carry work.  One scalar
-    aggregate over the commit dates."""
-    key = time_key("committer_date", commits.schema["committer_date"].dataType)
-    lo, hi, n = commits.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if not n or lo is None:
-        return float(DEFAULT_BUCKET_SECONDS)
-    scale = 1_000_000 if isinstance(commits.schema["committer_date"].dataType,
-                                    (T.TimestampType, T.TimestampNTZType)) else 1
-    span = max((hi - lo) / scale, 1.0)
-    return max(span * bucket_rows / n, 1.0)
-
-
 def fix_to_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
-                    match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                    bucket_seconds: float | None = None,
-                    reuse: str | None = "checkpoint",
-                    bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                    match: str = "first_hunk", pattern: str = BUGFIX_PATTERN) -> DataFrame:
     """One row per fix commit that has an earlier commit on one of its
-    files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies).
-
-    ``bucket_seconds`` defaults to ``bucket_width(commits, bucket_rows)``.
-    ``reuse="checkpoint"`` (default) writes the reduced predecessor table
-    and the per-fix queries, each read twice by the search, to the shared
-    checkpoint folder: the lineage of the search starts there, so a lost
-    executor costs a re-read, not a re-run of the joins (see
-    ``gitquarry.session.materialize``)."""
+    files: ``fix_commit_id, inducing_commit_id`` (null when none qualifies)."""
     if match not in MATCH_MODES:
         raise ValueError(f"match must be one of {MATCH_MODES}")
-    if bucket_seconds is None:
-        bucket_seconds = bucket_width(commits, bucket_rows)
     rows = hunk_rows(commits, file_actions, hunks, pattern)
     preds = rows.groupBy("file_id", "commit_id", "cdate").agg(F.min("new_start").alias("m"))
-    preds = materialize(preds, reuse)
     first_date = preds.groupBy("file_id").agg(F.min("cdate").alias("first_date"))
-    queries = materialize(_fix_queries(rows, first_date, match), reuse)
-
-    # the span of new_start fixes the number of dyadic levels (two scalars)
-    lo, hi = hunks.agg(F.min("new_start"), F.max("new_start")).first()
-    if lo is None:
-        return queries.select(F.col("commit_id").alias("fix_commit_id"),
-                              F.lit(None).cast(commits.schema["_id"].dataType)
-                              .alias("inducing_commit_id")).limit(0)
-    ans = latest_before_under(queries, preds, key=["file_id"], time_col="cdate",
-                              bound_col="bound", value_col="m", qid=["commit_id", "file_id"],
-                              m_lo=lo, m_hi=hi, out_col="ans", bucket_seconds=bucket_seconds)
-
-    # every query meets the predecessors of its file on its own answer date
-    # (the one that produced it plus exact ties); then one partial aggregate
-    # per fix keeps the latest date and, among ties, the lowest id
-    p = preds.select(F.col("file_id").alias("p_file"), F.col("commit_id").alias("p_commit"),
-                     F.col("cdate").alias("p_date"), F.col("m").alias("p_m"))
-    hit = (F.col("file_id") == F.col("p_file")) & (F.col("ans") == F.col("p_date")) \
-        & (F.col("p_m") <= F.col("bound"))
-    later_first = -time_key("ans", ans.schema["ans"].dataType)
-    pick = F.when(F.col("p_commit").isNotNull(), F.struct(later_first.alias("k"), F.col("p_commit")))
-    return ans.join(p, hit, "left").groupBy("commit_id") \
-        .agg(F.min(pick).alias("pick")) \
-        .select(F.col("commit_id").alias("fix_commit_id"),
-                F.col("pick.p_commit").alias("inducing_commit_id"))
+    queries = _fix_queries(rows, first_date, match)
+    return latest_before_under(queries, preds, key=["file_id"], time_col="cdate", bound_col="bound", value_col="m",
+                               id_col="commit_id", qid=["commit_id"], span=span_of(hunks, "new_start")) \
+        .select(F.col("commit_id").alias("fix_commit_id"), F.col("latest_id").alias("inducing_commit_id"))
 
 
 def bug_inducing(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
-                 match: str = "first_hunk", pattern: str = BUGFIX_PATTERN,
-                 bucket_seconds: float | None = None,
-                 reuse: str | None = "checkpoint") -> DataFrame:
+                 match: str = "first_hunk", pattern: str = BUGFIX_PATTERN) -> DataFrame:
     """A4: distinct inducing commit ids (a null id survives as one row)."""
-    return fix_to_inducing(commits, file_actions, hunks, match, pattern, bucket_seconds, reuse) \
+    return fix_to_inducing(commits, file_actions, hunks, match, pattern) \
         .select(F.col("inducing_commit_id").alias("commit_id")).distinct()
 
 

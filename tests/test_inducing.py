@@ -1,7 +1,10 @@
+import contextlib
 import datetime as dt
 import random
 
-from gitquarry.operators.dominance import latest_before_under
+import pytest
+
+from gitquarry.operators.dominance import latest_before_under, span_of
 from gitquarry.operators.inducing import fix_to_inducing
 
 
@@ -48,32 +51,74 @@ def _fixture(seed, n_commits=60, n_files=4):
     return commits, fas, hunks
 
 
-def test_matches_brute_force(spark):
-    for seed in (1, 2, 3):
+@contextlib.contextmanager
+def ranges(spark, n):
+    """n range partitions, none of them merged."""
+    keys = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def jobs_started(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_matches_brute_force(spark, n):
+    """With 40 ranges every file's commits cross several of them."""
+    for seed in (1, 2):
         commits, fas, hunks = _fixture(seed)
         cdf = spark.createDataFrame(commits, "_id long, committer_date timestamp, message string")
         fdf = spark.createDataFrame(fas, "_id long, file_id long, commit_id long")
         hdf = spark.createDataFrame(hunks, "file_action_id long, new_start int, old_start int, old_lines int")
         for match in ("first_hunk", "per_hunk"):
-            for bucket in (86400, 3600 * 5):  # small buckets exercise the carried maxima
-                got = {r.fix_commit_id: r.inducing_commit_id
-                       for r in fix_to_inducing(cdf, fdf, hdf, match, bucket_seconds=bucket).collect()}
-                assert got == brute_force(commits, fas, hunks, match), (seed, match, bucket)
+            with ranges(spark, n):
+                got = {r.fix_commit_id: r.inducing_commit_id for r in fix_to_inducing(cdf, fdf, hdf, match).collect()}
+            assert got == brute_force(commits, fas, hunks, match), (seed, match)
+
+
+def test_building_starts_no_job(spark):
+    commits, fas, hunks = _fixture(1)
+    cdf = spark.createDataFrame(commits, "_id long, committer_date timestamp, message string")
+    fdf = spark.createDataFrame(fas, "_id long, file_id long, commit_id long")
+    hdf = spark.createDataFrame(hunks, "file_action_id long, new_start int, old_start int, old_lines int")
+    before = jobs_started(spark)
+    df = fix_to_inducing(cdf, fdf, hdf)
+    assert jobs_started(spark) == before
+    df.collect()
+    assert jobs_started(spark) > before
 
 
-def test_dominance_hot_key(spark):
+@pytest.mark.parametrize("n", [1, 7, 60])
+def test_dominance_hot_key(spark, n):
+    """One key holds most rows, times and ids tie, and long stretches of
+    queries have no predecessor before them in their range."""
     rnd = random.Random(5)
-    preds = [(0, float(t), rnd.randrange(0, 100)) for t in range(400)]  # one hot key
-    preds += [(1, float(t), rnd.randrange(0, 100)) for t in range(0, 400, 7)]
-    queries = [(i, k, float(rnd.randrange(0, 420)), rnd.randrange(-5, 110))
+    preds = [(0, float(rnd.randrange(0, 300)), rnd.randrange(0, 100), f"p{i}") for i in range(400)]
+    preds += [(1, float(t), rnd.randrange(0, 100), f"o{t}") for t in range(0, 400, 7)] + [(None, 1.0, 1, "x"), (0, None, 1, "y"), (0, 1.0, None, "z")]
+    queries = [(i, k, float(rnd.randrange(0, 420)), rnd.choice([-5, 0, 3, 50, 99, 110]))
                for i, k in enumerate([0] * 150 + [1] * 50 + [2] * 5)]
-    pdf = spark.createDataFrame(preds, "k int, t double, m int")
+    queries += [(1000 + i, 0, 1000.0 + i, 99) for i in range(200)] + [(2000, None, 5.0, 5), (2001, 0, None, 5), (2002, 0, 5.0, None)]
+    queries += [(3000, 0, 50.0, 2), (3000, 0, 80.0, 90), (3000, 1, 300.0, 50)]  # an id that asks three times
+    pdf = spark.createDataFrame(preds, "k int, t double, m int, id string")
     qdf = spark.createDataFrame(queries, "qid int, k int, t double, b int")
-    got = {r.qid: r.ans_time for r in latest_before_under(
-        qdf, pdf, ["k"], "t", "b", "m", ["qid"], 0, 99, bucket_seconds=25).collect()}
+    with ranges(spark, n):
+        rows = latest_before_under(qdf, pdf, ["k"], "t", "b", "m", "id", ["qid"], span_of(pdf, "m")).collect()
+    got = {r.qid: (r.latest_key, r.latest_id) for r in rows}
+    want = {}
     for qid, k, t, b in queries:
-        cands = [pt for pk, pt, pm in preds if pk == k and pt < t and pm <= b]
-        assert got[qid] == (max(cands) if cands else None)
+        best = [(pt, pid) for pk, pt, pm, pid in preds if None not in (k, t, b, pk, pt, pm) and pk == k and pt < t and pm <= b]
+        want.setdefault(qid, []).extend(best)
+    for qid, best in want.items():
+        latest = max((t for t, _ in best), default=None)
+        assert got[qid] == (latest, min((i for t, i in best if t == latest), default=None))
+    assert len(rows) == len(want)
 
 
 def test_fixture_edge_rows(spark):
@@ -124,14 +169,11 @@ def test_wall_clock_times_in_a_daylight_saving_gap(spark):
                                     "_id long, file_id string, commit_id long")
         hunks = spark.createDataFrame([(10, 1, 0, 0), (20, 1, 0, 0), (30, 0, 5, 5), (31, 0, 5, 5)],
                                       "file_action_id long, new_start int, old_start int, old_lines int")
-        for bucket in (86400, 600):  # one bucket, and buckets split at the gap
-            got = {r.fix_commit_id: r.inducing_commit_id
-                   for r in fix_to_inducing(commits, fas, hunks, "per_hunk",
-                                            bucket_seconds=bucket).collect()}
-            assert got == {3: 2}, bucket
-        # the earlier wall-clock predecessor alone is still found (not lost to a bucket)
-        only_x = fix_to_inducing(commits, fas.where("file_id = 'x'"), hunks, "per_hunk",
-                                 bucket_seconds=600).collect()
+        got = {r.fix_commit_id: r.inducing_commit_id
+               for r in fix_to_inducing(commits, fas, hunks, "per_hunk").collect()}
+        assert got == {3: 2}
+        # the earlier wall-clock predecessor alone is still found
+        only_x = fix_to_inducing(commits, fas.where("file_id = 'x'"), hunks, "per_hunk").collect()
         assert [(r.fix_commit_id, r.inducing_commit_id) for r in only_x] == [(3, 1)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old_tz)
