@@ -2,7 +2,9 @@
 
 Everything except Jaro-Winkler is a native expression.  Jaro-Winkler has
 no built-in, so it runs as an Arrow-batched pandas UDF over the two string
-columns (no shuffle; a short Python loop per pair inside each batch).
+columns; numpy works on one position of the shorter strings of a whole batch
+at a time.  All measures give the same for (a, b) and (b, a), so
+``identity.pair_dictionary`` computes them once per unordered pair of strings.
 """
 
 from __future__ import annotations
@@ -33,31 +35,35 @@ def edit_ratio(a, b) -> Column:
 
 
 # ------------------------------------------------------------ D4 / F12
-def sorted_chars(s) -> Column:
-    """The characters of ``s``, sorted."""
-    # sort_array / array_remove are native (array_sort plans a lambda comparator)
-    return F.sort_array(F.array_remove(F.split(_c(s), ""), ""))
-
-
-def char_tags(s, chars: Column | None = None) -> Column:
-    """The characters of ``s`` as a set of (character, occurrence) tags:
-    'aab' -> {'a#0', 'a#1', 'b#0'}.  Two tag sets intersect in exactly the
-    multiset intersection of the characters.  ``chars`` should be a column
-    already holding ``sorted_chars(s)``, so the lambda does not sort again
-    for every character."""
-    chars = chars if chars is not None else sorted_chars(s)
-    return F.transform(chars, lambda c, i: F.concat(
-        c, F.lit("#"), (i + 1 - F.array_position(chars, c)).cast("string")))
-
-
-def intersect_len(a, b, tags_a: Column | None = None, tags_b: Column | None = None) -> Column:
-    """Size of the multiset intersection of the characters of a and b
-    (native collection functions; pass precomputed ``char_tags`` to reuse
-    them across comparisons)."""
-    ta = tags_a if tags_a is not None else char_tags(a)
-    tb = tags_b if tags_b is not None else char_tags(b)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(s) -> Column:
+    """How often each of a-z occurs in ``s``, as 26 numbers."""
+    c = _c(s)
+    return F.transform(F.array(*map(F.lit, LETTERS)), lambda x: F.length(c) - F.length(F.replace(c, x)))
+
+
+def other_counts(s) -> Column:
+    """How often each character outside a-z occurs in ``s``, as a map."""
+    chars = F.array_remove(F.split(F.translate(_c(s), LETTERS, ""), ""), "")
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(
+        c, F.size(F.filter(chars, lambda x: x == c)))))
+
+
+def common_letters(letters_a, others_a, letters_b, others_b) -> Column:
+    """D4 on counts: size of the multiset intersection of the characters."""
+    la, oa, lb, ob = map(_c, (letters_a, others_a, letters_b, others_b))
+    in_both = F.aggregate(F.zip_with(la, lb, lambda x, y: F.least(x, y)), F.lit(0), lambda n, c: n + c)
+    return F.aggregate(F.map_keys(oa), in_both, lambda n, c: n + F.least(oa[c], F.coalesce(ob[c], F.lit(0))))
+
+
+def intersect_len(a, b) -> Column:
+    """Size of the multiset intersection of the characters of a and b.
+    Where strings recur, count their letters once (``letter_counts``,
+    ``other_counts``) and use ``common_letters``."""
     return F.when(_c(a).isNull() | _c(b).isNull(), F.lit(None).cast("int")) \
-        .otherwise(F.size(F.array_intersect(ta, tb)))
+        .otherwise(common_letters(letter_counts(a), other_counts(a), letter_counts(b), other_counts(b)))
 
 
 def round_half_up_ratio(k: Column, n: Column) -> Column:
@@ -71,11 +77,11 @@ def round_half_up_ratio(k: Column, n: Column) -> Column:
         .otherwise(F.floor(num / den).cast("double") / F.lit(100.0))
 
 
-def multiset_jaccard(a, b, rounded: bool = False, tags_a: Column | None = None,
-                     tags_b: Column | None = None) -> Column:
-    """k / (len a + len b - k) with k the multiset intersection size;
-    ``rounded`` applies two-decimal half-up rounding."""
-    k = intersect_len(a, b, tags_a, tags_b)
+def multiset_jaccard(a, b, rounded: bool = False, common: Column | None = None) -> Column:
+    """k / (len a + len b - k) with k the multiset intersection size
+    (``common``, if it is known); ``rounded`` applies two-decimal half-up
+    rounding."""
+    k = common if common is not None else intersect_len(a, b)
     n = F.length(_c(a)) + F.length(_c(b)) - k
     if rounded:
         return round_half_up_ratio(k, n)

@@ -14,18 +14,23 @@ the first equal column:
 * Firstname equal, Prefix different;
 * Lastname equal, Prefix and Firstname different.
 
-So three joins replace six and the final ``distinct`` disappears.  The
+So the triples are listed once under each of their three keys, one join
+replaces six and the final ``distinct`` disappears.  The
 result is by definition every pair inside a block, so its size is what it
 is; what must not happen is one task owning a hot block.  The pairs of keys
 whose block yields more than ``hot_pairs`` pairs are dealt over a grid of
 cells: left rows to its rows, right rows to its columns.
+
+The same strings meet in many pairs.  ``pair_features`` therefore makes a
+dictionary of the distinct unordered pairs of strings, measures each once and
+joins the measures back to the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions import similarity as S
@@ -60,75 +65,53 @@ def normalize_people(people: DataFrame, drop_null: bool = True,
 
 
 # ------------------------------------------------------------------ C6
-def _grid_join(t: DataFrame, keys: Sequence[str], residual, hot_pairs: int,
-               num_partitions: int) -> DataFrame:
-    """Self-join of the triples on ``keys`` plus a residual predicate.
-
-    A key with n triples yields about n*n pairs; when that exceeds
-    ``hot_pairs`` the key's pairs are dealt over a grid of g x g cells with
-    g = ceil(n / sqrt(hot_pairs)).  A left row belongs to one row of the grid
-    and goes to its g cells, a right row to one column and its g cells, so
-    each pair meets in exactly one cell, a cell holds about ``hot_pairs``
-    pairs at any n, and a row is replicated n / sqrt(hot_pairs) times.
-
-    Both sides are hash-partitioned on (keys, cell) into ``num_partitions``
-    explicitly: the join output can be far larger than its input, so the
-    input-size based coalescing of adaptive execution would leave the
-    output (and the per-pair features computed on it) in a few tasks.  The
-    join reuses this partitioning; no further exchange is planned.
-    """
-    keys = list(keys)
-    side = hot_pairs ** 0.5
-    hot = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > side) \
-        .select(*keys, F.ceil(F.col("_n") / F.lit(side)).cast("bigint").alias("_g"))
-    tt = t.join(hot, keys, "left").withColumn("_g", F.coalesce(F.col("_g"), F.lit(1).cast("bigint"))) \
-        .withColumn("_own", F.pmod(F.xxhash64(*NAME_COLS), F.col("_g"))) \
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)))
-    left = tt.withColumn("_cell", F.col("_own") * F.col("_g") + F.col("_other")).drop("_g", "_own", "_other")
-    right = tt.select(*[F.col(c).alias(r) for c, r in zip(NAME_COLS, RIGHT_COLS)],
-                      (F.col("_other") * F.col("_g") + F.col("_own")).alias("_cell_1"))
-    rkeys = [RIGHT_COLS[NAME_COLS.index(k)] for k in keys]
-    left = left.repartition(num_partitions, *keys, "_cell")
-    right = right.repartition(num_partitions, *rkeys, "_cell_1")
-    cond = F.col("_cell") == F.col("_cell_1")
-    for k, rk in zip(keys, rkeys):
-        cond = cond & (F.col(k) == F.col(rk))
-    return left.join(right, cond & residual).select(*PAIR_COLS)
-
-
-def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: int = 1_000_000,
-                    num_partitions: int | None = None) -> DataFrame:
+def _keys(mode: str) -> list[tuple[str, str]]:
+    """The two columns (the same twice: one column) of each blocking key."""
+    if mode == "two_of_three":
+        return [("Prefix", "Firstname"), ("Prefix", "Lastname"), ("Firstname", "Lastname")]
+    return [(c, c) for c in NAME_COLS]
+
+
+def _first_equal(mode: str) -> Column:
+    """Whether a pair that agrees on key ``kind`` belongs to it: no pair
+    belongs to two."""
+    differ = {c: F.col(c) != F.col(r) for c, r in zip(NAME_COLS, RIGHT_COLS)}
+    if mode == "two_of_three":
+        parts = [differ["Lastname"], differ["Firstname"], differ["Prefix"]]
+    else:
+        parts = [differ["Firstname"] | differ["Lastname"], differ["Prefix"], differ["Prefix"] & differ["Firstname"]]
+    kind = F.col("_kind")
+    return F.when(kind == 0, parts[0]).when(kind == 1, parts[1]).otherwise(parts[2])
+
+
+def candidate_pairs(persons: DataFrame, mode: str = "two_of_three", hot_pairs: int = 1_000_000) -> DataFrame:
     """J6 / C6 blocking: columns Prefix, Firstname, Lastname, Prefix_1,
     Firstname_1, Lastname_1.  A null in any column excludes the row.
-    ``num_partitions`` defaults to ``spark.sql.shuffle.partitions``.
 
-    A block of n triples yields n*n pairs, all of them part of the result;
-    a grid of cells keeps the pairs of a key that meet in one place near
-    ``hot_pairs``, whatever n is."""
+    A block of n triples yields about n*n pairs, all of them part of the
+    result.  When that exceeds ``hot_pairs`` the key's pairs are dealt over a
+    grid of g x g cells with g = ceil(n / sqrt(hot_pairs)).  A left row
+    belongs to one row of the grid and goes to its g cells, a right row to
+    one column and its g cells, so each pair meets in exactly one cell, a
+    cell holds about ``hot_pairs`` pairs at any n, and a row is replicated
+    n / sqrt(hot_pairs) times.  All three keys are counted and joined at once.
+    """
     if mode not in PAIR_MODES:
         raise ValueError(f"mode must be one of {PAIR_MODES}")
-    if num_partitions is None:
-        num_partitions = int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = persons.select(*NAME_COLS).dropna().distinct()
-    P, Fn, L = (F.col(c) for c in NAME_COLS)
-    P1, F1, L1 = (F.col(c) for c in RIGHT_COLS)
-    if mode == "two_of_three":
-        parts = [
-            (["Prefix", "Firstname"], L != L1),
-            (["Prefix", "Lastname"], Fn != F1),
-            (["Firstname", "Lastname"], P != P1),
-        ]
-    else:
-        parts = [
-            (["Prefix"], (Fn != F1) | (L != L1)),
-            (["Firstname"], P != P1),
-            (["Lastname"], (P != P1) & (Fn != F1)),
-        ]
-    out = None
-    for keys, residual in parts:
-        j = _grid_join(t, keys, residual, hot_pairs, num_partitions)
-        out = j if out is None else out.unionByName(j)
-    return out
+    keys = [F.struct(F.lit(i).alias("_kind"), F.col(a).alias("_a"), F.col(b).alias("_b")) for i, (a, b) in enumerate(_keys(mode))]
+    block = ["_kind", "_a", "_b"]
+    listed = t.select(*NAME_COLS, F.explode(F.array(*keys)).alias("_key")).select(*NAME_COLS, "_key.*")
+    side = hot_pairs ** 0.5
+    hot = listed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > side) \
+        .select(*block, F.ceil(F.col("_n") / F.lit(side)).cast("bigint").alias("_g"))
+    dealt = listed.join(hot, block, "left").withColumn("_g", F.coalesce(F.col("_g"), F.lit(1).cast("bigint"))) \
+        .withColumn("_own", F.pmod(F.xxhash64(*NAME_COLS), F.col("_g"))) \
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)))
+    left = dealt.select(*NAME_COLS, *block, (F.col("_own") * F.col("_g") + F.col("_other")).alias("_cell"))
+    right = dealt.select(*[F.col(c).alias(r) for c, r in zip(NAME_COLS, RIGHT_COLS)], *block,
+                         (F.col("_other") * F.col("_g") + F.col("_own")).alias("_cell"))
+    return left.join(right, [*block, "_cell"]).where(_first_equal(mode)).select(*PAIR_COLS)
 
 
 # ------------------------------------------------------------------ C12
@@ -154,6 +137,27 @@ def _clean_pairs(pairs: DataFrame) -> DataFrame:
 _SHORT = {"Prefix": "P", "Firstname": "F", "Lastname": "L"}
 
 
+def pair_dictionary(pairs: DataFrame, slots: Sequence[tuple[str, str]], jw_slots: int, jaccard: bool,
+                    jw_variant: str = "lang3") -> DataFrame:
+    """The distinct unordered pairs of strings (``lo``, ``hi``) that stand
+    in the column pairs ``slots`` of any row, with their measures: ``jw``
+    (Jaro-Winkler; of pairs in the first ``jw_slots`` slots) and, for
+    ``jaccard``, ``common`` (size of the multiset intersection).  Letters are
+    counted once per distinct string."""
+    entries = [F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.lit(i < jw_slots).alias("wants_jw"))
+               for i, (a, b) in enumerate(slots)]
+    words = pairs.select(F.explode(F.array(*entries)).alias("e")).groupBy("e.lo", "e.hi").agg(F.max("e.wants_jw").alias("wants_jw"))
+    out = words.select("lo", "hi", S.jaro_winkler(F.when(F.col("wants_jw"), F.col("lo")), "hi", jw_variant).alias("jw"))
+    if not jaccard:
+        return out
+    strings = out.select(F.explode(F.array("lo", "hi")).alias("s")).distinct() \
+        .select("s", S.letter_counts("s").alias("letters"), S.other_counts("s").alias("others"))
+    one = strings.toDF("lo", "letters_lo", "others_lo")
+    two = strings.toDF("hi", "letters_hi", "others_hi")
+    return out.join(one, "lo").join(two, "hi") \
+        .select("lo", "hi", "jw", S.common_letters("letters_lo", "others_lo", "letters_hi", "others_hi").alias("common"))
+
+
 def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lang3") -> DataFrame:
     """Similarity features of labelled (or unlabelled) pairs.
 
@@ -168,42 +172,43 @@ def pair_features(pairs: DataFrame, kind: str = "simple", jw_variant: str = "lan
       rules c1-c7.
 
     Input columns other than the six names (for example ``Label``) are
-    kept.
+    kept, and so are repeated rows.  The pairs are exchanged once and read
+    twice: for the dictionary of their strings, and to fetch the measures.
+    For that a row is listed once per column pair, joined with the dictionary
+    and folded again.
     """
-    df = _clean_pairs(pairs)
-    tags = {c: F.col(f"_tags_{c}") for c in PAIR_COLS}
-    if kind in ("simple", "broad"):
-        # per pair and column once: sorted characters, then occurrence-tagged sets
-        df = df.withColumns({f"_chars_{c}": S.sorted_chars(c) for c in PAIR_COLS}) \
-            .withColumns({f"_tags_{c}": S.char_tags(c, F.col(f"_chars_{c}")) for c in PAIR_COLS}) \
-            .drop(*[f"_chars_{c}" for c in PAIR_COLS])
     same = list(zip(NAME_COLS, RIGHT_COLS))
     all_to_all = [(a, b) for a in NAME_COLS for b in RIGHT_COLS]
-    feats: dict[str, F.Column] = {}
+    if kind not in FEATURE_ORDER:
+        raise ValueError("kind must be simple, broad or rules")
+    slots = same if kind == "simple" else all_to_all
+    jw_slots = 6 if kind == "broad" else len(slots)
+    df = _clean_pairs(pairs).hint("rebalance")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    known = pair_dictionary(df, slots, jw_slots, kind != "rules", jw_variant)
+    parts = [F.struct(F.lit(i).alias("slot"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for i, (a, b) in enumerate(slots)]
+    listed = df.select(F.struct(*names).alias("pair"), F.explode(F.array(*parts)).alias("s")).select("pair", "s.slot", "s.lo", "s.hi")
+    measures = [c for c in known.columns if c not in ("lo", "hi")]
+    fetched = [F.max(F.when(F.col("slot") == i, F.col(m))).alias(f"_{m}_{i}") for i in range(len(slots)) for m in measures]
+    rows = listed.join(known, ["lo", "hi"]).groupBy("pair").agg(F.count_if(F.col("slot") == 0).alias("_times"), *fetched)
+    rows = rows.select("pair.*", *[f"_{m}_{i}" for i in range(len(slots)) for m in measures],
+                       F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy"))
+    feats: dict[str, F.Column] = {f"f{i + 1}": F.col(f"_jw_{i}") for i in range(jw_slots)}
     if kind == "simple":
-        for i, (a, b) in enumerate(same):
-            feats[f"f{i + 1}"] = S.jaro_winkler(a, b, jw_variant)
-        for i, (a, b) in enumerate(same):
-            feats[f"f{i + 4}"] = S.multiset_jaccard(a, b, False, tags[a], tags[b])
-        for i, (a, b) in enumerate(same):
-            feats[f"f{i + 7}"] = S.edit_ratio(a, b)
-    elif kind == "broad":
-        for i, (a, b) in enumerate(all_to_all[:6]):
-            feats[f"f{i + 1}"] = S.jaro_winkler(a, b, jw_variant)
+        for i, (a, b) in enumerate(slots):
+            feats[f"f{i + 4}"] = S.multiset_jaccard(a, b, False, F.col(f"_common_{i}"))
+    if kind in ("simple", "broad"):
         for i, (a, b) in enumerate(same):
             feats[f"f{i + 7}"] = S.edit_ratio(a, b)
-        for a, b in all_to_all:
-            name = f"{_SHORT[a]}{_SHORT[b[:-2]]}-Jaccard"
-            feats[name] = S.multiset_jaccard(a, b, True, tags[a], tags[b])
-    elif kind == "rules":
-        for i, (a, b) in enumerate(all_to_all):
-            feats[f"f{i + 1}"] = S.jaro_winkler(a, b, jw_variant)
+    if kind == "broad":
+        for i, (a, b) in enumerate(slots):
+            feats[f"{_SHORT[a]}{_SHORT[b[:-2]]}-Jaccard"] = S.multiset_jaccard(a, b, True, F.col(f"_common_{i}"))
+    if kind == "rules":
         feats.update(S.name_order_rules(*PAIR_COLS))
-    else:
-        raise ValueError("kind must be simple, broad or rules")
-    return df.withColumns(feats).drop(*[f"_tags_{c}" for c in PAIR_COLS])
+    return rows.select(*names, *[v.alias(k) for k, v in feats.items()])
 
 
+# The order in which the learners see the features.
 FEATURE_ORDER = {
     "simple": [f"f{i}" for i in range(1, 10)],
     "broad": [f"f{i}" for i in range(1, 10)] + [

@@ -13,7 +13,7 @@ BUGFIX_RE = "(?i)fix(e[ds])?|bugs?|defects?|patch"
 COMMIT_CTE = """
 commit_t AS (
   SELECT event_id AS _id, user_id % 25 AS vcs_system_id, user_id AS committer_id,
-         ts AS committer_date,
+         date_trunc('hour', ts) AS committer_date,
          CASE WHEN event_type = 'signup' THEN 'Merge branch main' || chr(10) || chr(10) || 'into release'
               WHEN event_type = 'purchase' THEN 'FIXED defect in checkout'
               WHEN event_type = 'error' THEN CASE WHEN event_id % 13 = 0 THEN NULL ELSE 'typo fix' END
@@ -168,8 +168,9 @@ people_t AS (
   SELECT k AS _id,
          CASE WHEN k % 41 = 0 THEN NULL WHEN v = 1 THEN l || ' ' || h
               WHEN v = 2 THEN h || ' ' || left(l, 6) ELSE h || ' ' || l END AS name,
-         CASE WHEN k % 29 = 5 THEN 'list.' || f WHEN v = 0 THEN f || '.' || l WHEN v = 1 THEN l || f
-              WHEN v = 2 THEN left(f, 1) || l ELSE f || '-' || CAST(k AS VARCHAR) END
+         CASE WHEN k % 29 = 5 THEN 'list.' || f WHEN v = 0 THEN f || '.' || l
+              WHEN v = 1 AND k // 4 % 3 = 0 THEN f || '.' || l WHEN v = 1 THEN l || f
+              WHEN v = 2 THEN left(f, 1) || l WHEN k // 4 % 3 = 1 THEN l || '_' || f ELSE f || '-' || CAST(k AS VARCHAR) END
          || CASE WHEN k % 17 = 0 THEN '' ELSE '@example.org' END AS email
   FROM head_t),
 persons AS (

@@ -77,6 +77,8 @@ def q_bug_inducing_pairs_per_hunk(spark: SparkSession, root: str) -> DataFrame:
 SAMPLE_SEED = 500
 BALANCE_SEED = 7
 PER_LABEL = 150
+#: Small, so that the derived people's largest blocks (60 and 52 records) are dealt over a grid.
+HOT_PAIRS = 1000
 
 
 def _persons(spark, root):
@@ -88,15 +90,15 @@ def q_people_normalized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_candidate_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return identity.candidate_pairs(_persons(spark, root), "two_of_three")
+    return identity.candidate_pairs(_persons(spark, root), "two_of_three", HOT_PAIRS)
 
 
 def q_candidate_pairs_broad(spark: SparkSession, root: str) -> DataFrame:
-    return identity.candidate_pairs(_persons(spark, root), "one_or_two")
+    return identity.candidate_pairs(_persons(spark, root), "one_or_two", HOT_PAIRS)
 
 
 def _features(spark, root, kind):
-    return identity.pair_features(identity.candidate_pairs(_persons(spark, root), "one_or_two"), kind)
+    return identity.pair_features(q_candidate_pairs_broad(spark, root), kind)
 
 
 def q_pair_features_simple(spark: SparkSession, root: str) -> DataFrame:
@@ -120,7 +122,7 @@ def q_labelled_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_labelling_sample(spark: SparkSession, root: str) -> DataFrame:
-    pairs = identity.candidate_pairs(_persons(spark, root), "one_or_two")
+    pairs = q_candidate_pairs_broad(spark, root)
     return sampling.random_split(pairs, [0.1, 0.9], SAMPLE_SEED)[0]
 
 

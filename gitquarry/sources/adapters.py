@@ -43,7 +43,8 @@ def commits(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("_id"),
         (F.col("user_id") % 25).alias("vcs_system_id"),
         F.col("user_id").alias("committer_id"),
-        F.col("ts").alias("committer_date"),
+        # whole hours, so that commits of one file share dates
+        F.date_trunc("hour", "ts").cast(events.schema["ts"].dataType).alias("committer_date"),
         message.alias("message"),
     )
 
@@ -148,7 +149,7 @@ def people(customer: DataFrame) -> DataFrame:
     scale.  Some names are null, some e-mails lack an '@', some mailboxes hold
     a denylisted word, and two blocks of a fixed size share a first name
     (``admin``, and one without Latin letters)."""
-    key, variant = F.col("c_custkey"), F.col("c_custkey") % 4
+    key, variant, person = F.col("c_custkey"), F.col("c_custkey") % 4, F.expr("c_custkey div 4")
     first, last = _letters("f", 8), _letters("l", 7)
     head = F.when(key < 60, F.lit("admin")).when((key < 2000) & (key % 37 == 3), F.lit("\u00e9")).otherwise(first)
     name = F.when(key % 41 == 0, F.lit(None).cast("string")) \
@@ -157,13 +158,15 @@ def people(customer: DataFrame) -> DataFrame:
         .otherwise(F.concat(head, F.lit(" "), last))
     box = F.when(key % 29 == 5, F.concat(F.lit("list."), first)) \
         .when(variant == 0, F.concat(first, F.lit("."), last)) \
+        .when((variant == 1) & (person % 3 == 0), F.concat(first, F.lit("."), last)) \
         .when(variant == 1, F.concat(last, first)) \
         .when(variant == 2, F.concat(F.substring(first, 1, 1), last)) \
+        .when(person % 3 == 1, F.concat(last, F.lit("_"), first)) \
         .otherwise(F.concat(first, F.lit("-"), key.cast("string")))
     return customer.select(
         key.alias("_id"), name.alias("name"),
         F.when(key % 17 == 0, box).otherwise(F.concat(box, F.lit("@example.org"))).alias("email"),
-        F.col("c_mktsegment").alias("username"))
+        F.col("c_name").alias("username"))
 
 
 def code_entity_states(lineitem: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
+import collections
 import itertools
+import random
 
 import pytest
 
-from gitquarry.functions.similarity import jaro_winkler_lang3
-from gitquarry.operators.identity import (PAIR_COLS, candidate_pairs, normalize_people,
+from gitquarry.functions.similarity import jaro_winkler_lang3, jaro_winkler_standard
+from gitquarry.operators.identity import (NAME_COLS, PAIR_COLS, RIGHT_COLS, candidate_pairs, normalize_people, pair_dictionary,
                                           pair_features)
 
 
@@ -107,3 +109,47 @@ def test_standard_variant_matches_duckdb():
         "SELECT jaro_winkler_similarity(a, b) FROM p").fetchall()])
     got = jaro_winkler_many(df.a.tolist(), df.b.tolist(), "standard")
     assert np.max(np.abs(expected - got)) < 1e-12
+
+
+def test_similarities_are_the_same_in_both_orders():
+    r = random.Random(4)
+    for _ in range(20_000):
+        a, b = ("".join(r.choice("abcde") for _ in range(r.randrange(12))) for _ in range(2))
+        assert jaro_winkler_lang3(a, b) == jaro_winkler_lang3(b, a)
+        assert jaro_winkler_standard(a, b) == jaro_winkler_standard(b, a)
+
+
+def _odd_pairs():
+    r = random.Random(6)
+    names = ["".join(r.choice("abcdé\U0001F600-") for _ in range(r.randrange(6))) for _ in range(12)]
+    rows = [tuple(r.choice(names) for _ in range(6)) + (r.choice(["T", "F"]),) for _ in range(150)]
+    return rows + rows[:9]  # repeated rows stay
+
+
+@pytest.mark.parametrize("kind", ["simple", "broad", "rules"])
+def test_each_string_pair_is_measured_once(spark, kind):
+    rows = _odd_pairs()
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*PAIR_COLS, "Label"]))
+    slots = [(a, b) for a in NAME_COLS for b in RIGHT_COLS] if kind != "simple" else list(zip(NAME_COLS, RIGHT_COLS))
+    at = {c: i for i, c in enumerate(PAIR_COLS)}
+    want = {tuple(sorted((x[at[a]], x[at[b]]))) for x in rows for a, b in slots}
+    known = pair_dictionary(df, slots, len(slots), kind != "rules").collect()
+    assert len(known) == len(want) and {(k.lo, k.hi) for k in known} == want
+    assert all(k.jw == jaro_winkler_lang3(k.lo, k.hi) for k in known)
+
+    feats = pair_features(df, kind)
+    got = feats.collect()
+    assert sorted(tuple(g[:7]) for g in got) == sorted(rows)
+    plan = feats._jdf.queryExecution().executedPlan().toString()
+    assert "array_position" not in plan and "isFinalPlan=true" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("ArrowEvalPython") == 1
+    for g in got:
+        for i, (a, b) in enumerate(slots[:6 if kind == "broad" else 9]):
+            assert g[f"f{i + 1}"] == jaro_winkler_lang3(g[a], g[b]) or (kind == "broad" and i >= 6)
+        if kind != "rules":
+            for i, (a, b) in enumerate(slots):
+                common = sum((collections.Counter(g[a]) & collections.Counter(g[b])).values())
+                n = len(g[a]) + len(g[b]) - common
+                value = g[f"f{i + 4}"] if kind == "simple" else g[f"{a[0]}{b[0]}-Jaccard"]
+                assert value == (None if n == 0 else common / n if kind == "simple" else (200 * common + n) // (2 * n) / 100)
