@@ -5,10 +5,9 @@ commits and bug-fix commits, combined by full outer joins on
 (``Date``, ``ID``).  A null actor forms its own group and never matches
 across inputs, so it yields separate rows.
 
-Plan shape: each input is scanned once and partially aggregated before
-its shuffle.  The commit counts are derived from the per-flag counts
-(a few rows per key) instead of a second scan of the commit table, and
-the joins run on the aggregates' hash partitioning on (Date, ID).
+Plan shape: the inputs are put one under the other, each scanned once, and
+counted by one aggregate with partial counts, so there is one shuffle and no
+join.  The rows per flag value are unfolded from the counts of a key.
 """
 
 from __future__ import annotations
@@ -39,19 +38,6 @@ def bugfix_counts(commits: DataFrame, fmt: str = MONTH_FORMAT,
     ).agg(F.count(F.lit(1)).alias("bug_fix"))
 
 
-def _full_outer(left: DataFrame, right: DataFrame) -> DataFrame:
-    # null keys never match; keys are coalesced like a USING join
-    r = right.withColumnsRenamed({"Date": "_r_date", "ID": "_r_id"})
-    cond = (F.col("Date") == F.col("_r_date")) & (F.col("ID") == F.col("_r_id"))
-    l_cols = [c for c in left.columns if c not in KEYS]
-    r_cols = [c for c in right.columns if c not in KEYS]
-    return left.join(r, cond, "full_outer").select(
-        F.coalesce(F.col("Date"), F.col("_r_date")).alias("Date"),
-        F.coalesce(F.col("ID"), F.col("_r_id")).alias("ID"),
-        *l_cols, *r_cols,
-    )
-
-
 def developer_activity(messages: DataFrame, comments: DataFrame, commits: DataFrame,
                        fmt: str = MONTH_FORMAT, bugfix_only: bool = False,
                        pattern: str = BUGFIX_PATTERN) -> DataFrame:
@@ -62,14 +48,25 @@ def developer_activity(messages: DataFrame, comments: DataFrame, commits: DataFr
     other commits gives one row per flag value, ``commits`` repeated on
     each.  ``bugfix_only=True`` joins only the fix counts, one row per key.
     """
-    msg = count_per_period(messages, "date", "from_id", "messages", fmt)
-    com = count_per_period(comments, "created_at", "author_id", "comments", fmt)
-    flags = bugfix_counts(commits, fmt, pattern)
-    per_commit = flags.groupBy(*KEYS).agg(F.sum("bug_fix").alias("commits"))
-    if bugfix_only:
-        flags = flags.filter(F.col("bugfix") == F.lit(True))
-    flags = flags.drop("bugfix")
-    join1 = _full_outer(com, msg)
-    join2 = _full_outer(per_commit, flags)
-    return _full_outer(join1, join2).select(
-        "Date", "ID", "comments", "messages", "commits", "bug_fix")
+    def tagged(df: DataFrame, ts_col: str, actor_col: str, source: str, flag=None) -> DataFrame:
+        return df.select(period(ts_col, fmt).alias("Date"), F.col(actor_col).alias("ID"), F.lit(source).alias("source"),
+                         (F.lit(None).cast("boolean") if flag is None else flag).alias("flag"))
+
+    rows = tagged(messages, "date", "from_id", "messages") \
+        .unionByName(tagged(comments, "created_at", "author_id", "comments")) \
+        .unionByName(tagged(commits, "committer_date", "committer_id", "commits", is_bugfix("message", pattern)))
+    # a key with a null matches nothing: its rows stay apart by their source
+    unmatched = F.when(F.col("Date").isNull() | F.col("ID").isNull(), F.col("source"))
+    own = lambda source, cond=None: F.count_if((F.col("source") == source) & (F.lit(True) if cond is None else cond))
+    flags = [F.col("flag"), ~F.col("flag"), F.col("flag").isNull()][:1 if bugfix_only else 3]
+    counts = rows.groupBy(*KEYS, unmatched.alias("alone")).agg(
+        *[F.nullif(own(c), F.lit(0)).alias(c) for c in ("comments", "messages", "commits")],
+        F.filter(F.array(*[own("commits", f) for f in flags]), lambda n: n > 0).alias("fixes"))
+    alone = F.col("alone").isNotNull() & F.col("commits").isNotNull()
+    pair = lambda n, fixes: F.struct(n.alias("commits"), fixes.alias("bug_fix"))
+    none = F.lit(None).cast("bigint")
+    matched = F.when(F.size("fixes") == 0, F.array(pair(F.col("commits"), none))) \
+        .otherwise(F.transform("fixes", lambda n: pair(F.col("commits"), n)))
+    apart = F.concat(F.array(pair(F.col("commits"), none)), F.transform("fixes", lambda n: pair(none, n)))
+    return counts.select(*KEYS, "comments", "messages", F.explode(F.when(alone, apart).otherwise(matched)).alias("c")) \
+        .select(*KEYS, "comments", "messages", "c.commits", "c.bug_fix")

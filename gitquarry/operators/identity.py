@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions import similarity as S
-from gitquarry.operators.sampling import random_split
+from gitquarry.operators.sampling import hash_unit, random_split
 from gitquarry.sources.catalog import write_csv
 from gitquarry.functions.text import (email_local_part, first_name, last_name, letters_only,
                                       not_denylisted)
@@ -47,14 +47,16 @@ PAIR_MODES = ("two_of_three", "one_or_two")
 
 # ------------------------------------------------------------------ C5
 def normalize_people(people: DataFrame, drop_null: bool = True,
-                     drop_empty: bool = False) -> DataFrame:
+                     drop_empty: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Prefix (e-mail local part), Firstname and Lastname: letters only,
     lower case.  Non-Latin letters vanish and may leave an empty string,
-    which stays unless ``drop_empty``; a null input gives null."""
+    which stays unless ``drop_empty``; a null input gives null.  Columns in
+    ``keep`` follow."""
     out = people.select(
         F.lower(letters_only(email_local_part("email"))).alias("Prefix"),
         F.lower(letters_only(first_name("name"))).alias("Firstname"),
         F.lower(letters_only(last_name("name"))).alias("Lastname"),
+        *keep,
     )
     if drop_null:
         out = out.dropna(subset=NAME_COLS)
@@ -127,6 +129,23 @@ def label_sample(pairs: DataFrame, path: str, fraction: float = 0.1, seed: int =
     return sample
 
 
+def person_label(pairs: DataFrame, records: DataFrame, person_col: str, seed: int = 11,
+                 uncertain: float = 0.1, wrong: float = 0.02) -> DataFrame:
+    """Label pairs by who wrote them, standing in for the manual labelling
+    step: ``T`` when some person (``person_col`` of ``records``, which also have the three
+    name columns) has a record with either triple, else ``F``.  As a reader
+    would, the label is uncertain (``U``) for a share of the pairs and wrong
+    for another, both drawn by the pair's hash.  The names alone do not give
+    the label."""
+    known = records.select(*NAME_COLS, F.col(person_col).alias("_person")).dropna().distinct()
+    other = known.select(*[F.col(c).alias(r) for c, r in zip(NAME_COLS, RIGHT_COLS)], "_person")
+    same = known.join(other, "_person").select(*PAIR_COLS, F.lit(True).alias("_same")).distinct()
+    u = hash_unit(PAIR_COLS, seed)
+    truth = F.coalesce(F.col("_same"), F.lit(False)) != ((u >= uncertain) & (u < uncertain + wrong))
+    label = F.when(u < uncertain, "U").when(truth, "T").otherwise("F")
+    return pairs.join(same, PAIR_COLS, "left").withColumn("Label", label).drop("_same")
+
+
 # ------------------------------------------------------------------ C7-C9
 def _clean_pairs(pairs: DataFrame) -> DataFrame:
     """P9 + P8: six non-null name columns and a left prefix outside the

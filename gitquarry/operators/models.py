@@ -8,7 +8,7 @@ checkpoint folder, so nothing stays cached and a lost executor costs a read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
@@ -16,12 +16,13 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression)
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
 from gitquarry.operators.identity import PAIR_COLS
-from gitquarry.operators.sampling import bernoulli_sample, except_distinct, random_split
+from gitquarry.operators import trees
+from gitquarry.operators.sampling import balanced_sample, bernoulli_sample, except_distinct, random_split, rest_distinct
 from gitquarry.session import materialize
 from gitquarry.sources.catalog import load_logical
 
@@ -66,6 +67,10 @@ def accuracy(predictions: DataFrame, predicted_col: str = "predictedLabel",
 
 
 # ------------------------------------------------------------------ C10
+#: Rows of each label that a matcher is fitted on at most: a bound of the classifier.
+MAX_LABELLED = 20_000
+
+
 @dataclass
 class MatcherResult:
     predictions: DataFrame
@@ -73,37 +78,43 @@ class MatcherResult:
     misclassified: DataFrame
     accuracy: DataFrame
     labels: list
+    predicted_index: Column
+    transformed: Callable[[DataFrame], DataFrame]
 
 
 def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier: str = "gbt",
                   seed: int = 90891, train_fraction: float = 0.67, label_col: str = "Label",
-                  split: str = "hash", max_iter: int = 20) -> MatcherResult:
+                  split: str = "hash", max_iter: int = 20, max_labelled: int = MAX_LABELLED) -> MatcherResult:
     """M2-M9: assemble, index labels and features on all rows (as the
-    reference does), split, fit on the training part, score the rest."""
+    reference does), split, fit on the training part, score the rest.
+
+    The fit takes at most ``max_labelled`` rows of each label of the training
+    part, those of smallest hash; scoring covers the whole test part.  The
+    fitted trees are compiled to a column over the features
+    (``predicted_index``; see ``operators.trees``), which scores the test part; ``transformed`` scores rows by the
+    learner's own classes, for comparison."""
+    if classifier not in ("gbt", "tree"):
+        raise ValueError("classifier must be gbt or tree")
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="error")
-    data = asm.transform(materialize(features.select(
-        *PAIR_COLS, label_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in feature_cols]), "table"))
+    rows = materialize(features.select(
+        *PAIR_COLS, label_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in feature_cols]), "table")
+    data = asm.transform(rows)
     label_idx = StringIndexer(inputCol=label_col, outputCol="indexedLabel").fit(data)
-    feat_idx = VectorIndexer(inputCol="features", outputCol="indexedFeatures",
-                             maxCategories=10).fit(data)
-    train, test = random_split(data, [train_fraction, 1 - train_fraction], seed, method=split,
-                               cols=PAIR_COLS)
-    if classifier == "gbt":
-        clf = GBTClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures",
-                            maxIter=max_iter, seed=seed)
-    elif classifier == "tree":
-        clf = DecisionTreeClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures",
-                                     seed=seed)
-    else:
-        raise ValueError("classifier must be gbt or tree")
-    conv = IndexToString(inputCol="prediction", outputCol="predictedLabel",
-                         labels=label_idx.labels)
-    model = Pipeline(stages=[label_idx, feat_idx, clf, conv]).fit(train)
-    preds = model.transform(test)
+    feat_idx = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=10).fit(data)
+    train, test = random_split(rows, [train_fraction, 1 - train_fraction], seed, method=split, cols=PAIR_COLS)
+    train = asm.transform(balanced_sample(train, label_col, max_labelled, seed, cols=PAIR_COLS))
+    learner = GBTClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures", maxIter=max_iter, seed=seed) if classifier == "gbt" \
+        else DecisionTreeClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures", seed=seed)
     labels = list(label_idx.labels)
+    conv = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels)
+    model = Pipeline(stages=[label_idx, feat_idx, learner, conv]).fit(train)
+    fitted, names = model.stages[2], list(feature_cols)
+    index = trees.compile_boosted(*trees.read_boosted(fitted, names, feat_idx)) if classifier == "gbt" \
+        else trees.compile_tree(trees.read_tree(fitted, names, feat_idx))
+    preds = test.withColumn("prediction", index).withColumn("predictedLabel", trees.label_of(F.col("prediction"), labels))
     return MatcherResult(preds, confusion_matrix(preds, labels, label_col=label_col),
                          misclassified(preds, label_col=label_col),
-                         accuracy(preds, label_col=label_col), labels)
+                         accuracy(preds, label_col=label_col), labels, index, lambda df: model.transform(asm.transform(df)))
 
 
 # ------------------------------------------------------------------ labelled pairs
@@ -126,11 +137,11 @@ def rule_label(features_rules: DataFrame, keep_features: bool = False) -> DataFr
 # ------------------------------------------------------------------ C3
 def defect_prediction(entity_states: DataFrame, commits: DataFrame,
                       pattern: str = BUGFIX_PATTERN, ce_type_like: str = "class",
-                      registry: dict | None = None) -> DataFrame:
+                      registry: dict | None = None, tol: float = 1e-6) -> DataFrame:
     """Logistic regression of the bug-fix flag on class metrics, trained
     and scored on the same rows (as the reference does).  Entities of
     commits whose message is null (flag null) cannot be labelled and are
-    left out."""
+    left out.  ``regression.score_equations`` checks the fit; ``tol`` ends it."""
     states = load_logical(entity_states, "code_entity_state",
                           [["RID"], ["AbstractionLevel"], ["ProductMetric", "JavaClass"]], registry) \
         .select("commit_id", "metrics", "ce_type")
@@ -142,11 +153,19 @@ def defect_prediction(entity_states: DataFrame, commits: DataFrame,
         .withColumn("bugfix_double", F.col("bugfix").cast("double"))
     # the estimator persists its own uncached input for the duration of the fit
     df = struct_to_features(df, "metrics", "features")
-    model = LogisticRegression(labelCol="bugfix_double", featuresCol="features").fit(df)
+    model = LogisticRegression(labelCol="bugfix_double", featuresCol="features", tol=tol).fit(df)
     return model.transform(df)
 
 
 # ------------------------------------------------------------------ C11 / M11 / M12
+def size_rows(entity_states: DataFrame, response: str = "LOC", predictors: Sequence[str] = ("WMC", "CBO"),
+              ce_type: str = "class", registry: dict | None = None) -> DataFrame:
+    """The class metrics that the size regression is fitted and applied on."""
+    states = load_logical(entity_states, "code_entity_state",
+                          [["AbstractionLevel"], ["ProductMetric", "JavaClass"]], registry)
+    return states.where(F.col("ce_type") == ce_type).select(*[F.col(f"metrics.{c}").alias(c) for c in [response, *predictors]])
+
+
 def size_regression(entity_states: DataFrame, response: str = "LOC",
                     predictors: Sequence[str] = ("WMC", "CBO"), fraction: float = 0.5,
                     seed: int = 42, ce_type: str = "class", sample: str = "hash",
@@ -155,14 +174,11 @@ def size_regression(entity_states: DataFrame, response: str = "LOC",
     class metrics and applied to the rest (EXCEPT DISTINCT of the sample).
 
     Returns (coefficients DataFrame, predictions DataFrame)."""
-    states = load_logical(entity_states, "code_entity_state",
-                          [["AbstractionLevel"], ["ProductMetric", "JavaClass"]], registry)
-    selected = states.where(F.col("ce_type") == ce_type) \
-        .select(*[F.col(f"metrics.{c}").alias(c) for c in [response, *predictors]])
+    selected = size_rows(entity_states, response, predictors, ce_type, registry)
     # a hash filter over one scan: cheaper to recompute for EXCEPT than to cache;
     # the Gaussian fit is a single aggregation pass
     train = bernoulli_sample(selected, fraction, seed, method=sample)
-    test = except_distinct(selected, train)
+    test = rest_distinct(selected, fraction, seed) if sample == "hash" else except_distinct(selected, train)
     asm = VectorAssembler(inputCols=list(predictors), outputCol="features")
     glm = GeneralizedLinearRegression(family="gaussian", link="identity", labelCol=response,
                                       featuresCol="features")

@@ -9,9 +9,12 @@ the same rows.  The native draws stay available (``method="native"``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,41 +69,59 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int, method: str = "h
     return df.where(hash_unit(list(cols or df.columns), seed, df) < fraction)
 
 
+def rest_distinct(df: DataFrame, fraction: float, seed: int, cols: Sequence[str] | None = None) -> DataFrame:
+    """U2 of a hash sample (``bernoulli_sample``): whether a row is in the
+    sample depends on its columns only, so the EXCEPT DISTINCT is a filter on
+    the same hash and one distinct, without reading the input twice."""
+    return df.where(hash_unit(list(cols or df.columns), seed, df) >= fraction).distinct()
+
+
 def except_distinct(df: DataFrame, other: DataFrame) -> DataFrame:
     """EXCEPT DISTINCT; every copy of a row present in ``other`` goes,
     duplicates collapse."""
     return df.subtract(other)
 
 
-THRESHOLD_LEVELS = 40
+_SALTS = 32
+
+
+def _least(label_col: str, per_label: int, order: Sequence[str]):
+    """Of the rows that come in, the ``per_label`` first of each label."""
+    def least(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in stream:
+            rows = pa.Table.from_batches([batch])
+            kept = rows if kept is None else pa.concat_tables([kept, rows])
+            at = pc.sort_indices(kept, sort_keys=[(c, "ascending") for c in [label_col, "_u", *order]])
+            label = kept[label_col].take(at).combine_chunks()
+            n = len(label)
+            differs = pc.fill_null(pc.not_equal(label.slice(1), label.slice(0, max(0, n - 1))), False).to_numpy(zero_copy_only=False)
+            nulls = label.is_null().to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True], differs | (nulls[1:] != nulls[:-1])]) if n else np.empty(0, bool)
+            place = np.arange(n)
+            rank = place - np.maximum.accumulate(np.where(new, place, 0))
+            kept = kept.take(at.take(pa.array(np.flatnonzero(rank < per_label))))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+    return least
 
 
 def balanced_sample(df: DataFrame, label_col: str, per_label: int, seed: int,
                     cols: Sequence[str] | None = None) -> DataFrame:
     """The ``per_label`` rows of every label with the smallest row
-    hash (ties by the row's columns).
-
-    A label may hold most rows, so ranking inside a label would put it in
-    one task.  One partial aggregate per label counts its rows ``n`` and
-    the rows whose hash lies below ``2**-j`` for j = 0..40.  Each label then
-    keeps only the rows below the smallest such threshold that still holds
-    ``min(per_label, n)`` rows: its smallest-hash rows are all among them
-    (exact), and as the hash is uniform they number about
-    ``2 * per_label``.  Only these survivors are ranked, so the work per
-    task is bounded by the requested sample size, not by the data.
+    hash (ties by the row's columns): a bottom-k sketch per label.
+
+    A sketch is the union's sketch of the sketches of its parts, so each task
+    keeps one as its rows stream by, and sketches are merged in two steps, by
+    label and salt and then by label.  The input is read once, no task holds
+    more than ``per_label`` rows a label and a batch, and only sketches are
+    shuffled.
     """
     cols = list(cols or df.columns)
-    u = df.withColumn("_u", hash_unit(cols, seed, df))
-    below = [F.sum(F.when(F.col("_u") < F.lit(2.0 ** -j), 1).otherwise(0)).alias(f"_c{j}")
-             for j in range(THRESHOLD_LEVELS + 1)]
-    stats = u.groupBy(F.col(label_col).alias("_label")).agg(F.count(F.lit(1)).alias("_n"), *below)
-    need = F.least(F.col("_n"), F.lit(per_label))
-    thr = F.least(*[F.when(F.col(f"_c{j}") >= need, F.lit(2.0 ** -j))
-                    for j in range(THRESHOLD_LEVELS + 1)])
-    cut = stats.select("_label", thr.alias("_thr"))
-    kept = u.join(cut, u[label_col].eqNullSafe(cut["_label"])) \
-        .where(F.col("_u") < F.col("_thr")).drop("_label", "_thr")
-    order = [F.col("_u"), *[F.col(c) for c in cols]]
-    final = Window.partitionBy(label_col).orderBy(*order)
-    return kept.withColumn("_rn", F.row_number().over(final)) \
-        .where(F.col("_rn") <= per_label).drop("_rn", "_u")
+    least = _least(label_col, per_label, cols)
+    rows = df.withColumn("_u", hash_unit(cols, seed, df))
+    sketch = rows.mapInArrow(least, rows.schema)
+    salt = F.pmod(F.xxhash64("_u"), F.lit(_SALTS))
+    for spread in ([F.col(f"`{label_col}`"), salt], [F.col(f"`{label_col}`")]):
+        sketch = sketch.repartition(*spread).mapInArrow(least, rows.schema)
+    return sketch.drop("_u")

@@ -50,7 +50,7 @@ def size_prediction_example(catalog, fraction: float = 0.5, seed: int = 42, regi
     return coef, models.prediction_summary(preds)
 
 
-# algorithm -> (pair mode, export share, feature kind, classifier, labels, split seed)
+# Fixed values.  algorithm -> (pair mode, export share, feature kind, classifier, labels, split seed)
 IDENTITY_ALGORITHMS = {
     "simple": ("two_of_three", 0.5, "simple", "gbt", ("T", "F"), None),
     "broad": ("one_or_two", 0.1, "broad", "gbt", ("T", "F"), None),
@@ -59,6 +59,9 @@ IDENTITY_ALGORITHMS = {
 }
 
 
+PER_LABEL = 100
+
+
 @dataclass
 class IdentityResult:
     candidates: DataFrame
@@ -68,15 +71,14 @@ class IdentityResult:
 
 def identity_merging(catalog, algorithm: str = "optimized", labelled_path: str | None = None,
                      export_path: str | None = None, seed: int = 4242,
-                     per_label: int | None = None) -> IdentityResult:
+                     per_label: int = PER_LABEL) -> IdentityResult:
     """Candidate pairs of ``people``, optional export of a labelling sample
     (kept when the file exists), then features and the classifier of the
     chosen algorithm on labelled pairs.
 
     ``labelled_path`` names the manually labelled CSV; without it the rule
     label (``models.rule_label``) stands in for the manual step.  The
-    balanced algorithm draws ``per_label`` pairs per label (default: the
-    size of the smallest label class)."""
+    balanced algorithm draws ``per_label`` pairs per label."""
     mode, share, kind, classifier, label_set, fixed_seed = IDENTITY_ALGORITHMS[algorithm]
     persons = identity.normalize_people(catalog.load("people"))
     candidates = identity.candidate_pairs(persons, mode)
@@ -88,8 +90,6 @@ def identity_merging(catalog, algorithm: str = "optimized", labelled_path: str |
         labelled = models.rule_label(identity.pair_features(candidates, "rules"))
     labelled = labelled.where(F.col("Label").isin(*label_set))
     if algorithm == "balanced":
-        if per_label is None:
-            per_label = labelled.groupBy("Label").count().agg(F.min("count")).first()[0] or 0
         labelled = sampling.balanced_sample(labelled, "Label", per_label, seed,
                                             cols=identity.PAIR_COLS + ["Label"])
     feats = identity.pair_features(labelled, kind).na.fill(0.0)

@@ -374,3 +374,155 @@ def developer_activity_top(fmt: str, n: int) -> str:
     cols = ['"Date"', '"ID"', "comments", "messages", "commits", "bug_fix"]
     order = ", ".join(f"{c} NULLS FIRST" for c in cols)
     return f"SELECT * FROM ({developer_activity(fmt, False)}) ORDER BY {order} LIMIT {n}"
+
+
+# ---------------------------------------------------------------- matchers
+def _hash_text(cols: list[str], seed: int) -> str:
+    return hash_unit_sql(cols, seed)
+
+
+def _person_labels_cte(seed: int, uncertain: float = 0.1, wrong: float = 0.02) -> str:
+    cols, u = ", ".join(_L + _R), _hash_text(_L + _R, seed)
+    one = ", ".join(f"a.{c}" for c in _L) + ", " + ", ".join(f"b.{c} AS {r}" for c, r in zip(_L, _R))
+    records = """
+records AS (
+  SELECT lower(regexp_replace(split_part(email, '@', 1), '[^a-zA-Z]', '', 'g')) AS "Prefix",
+         lower(regexp_replace(split_part(name, ' ', 1), '[^a-zA-Z]', '', 'g')) AS "Firstname",
+         lower(regexp_replace(split_part(rtrim(name, ' '), ' ', -1), '[^a-zA-Z]', '', 'g')) AS "Lastname", _id // 4 AS person
+  FROM people_t WHERE name IS NOT NULL AND email IS NOT NULL)"""
+    return f"""{records},
+same AS (SELECT DISTINCT {one}, TRUE AS same FROM records a JOIN records b ON a.person = b.person),
+drawn AS (SELECT cand.*, coalesce(same, FALSE) AS same, {u} AS u FROM cand LEFT JOIN same USING ({cols})),
+plabel AS (SELECT {cols}, CASE WHEN u < {uncertain} THEN 'U'
+                               WHEN same <> (u >= {uncertain} AND u < {uncertain} + {wrong}) THEN 'T' ELSE 'F' END AS "Label" FROM drawn)"""
+
+
+def person_labels(seed: int) -> str:
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), _person_labels_cte(seed)) + "SELECT * FROM plabel"
+
+
+def matcher_split_totals(seed: int, fraction: float, split_seed: int) -> str:
+    u = _hash_text(_L + _R, split_seed)
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), _person_labels_cte(seed)) + f"""
+SELECT CASE WHEN {u} < {fraction}::DOUBLE THEN 'train' ELSE 'test' END AS part, "Label", count(*) AS n FROM plabel GROUP BY 1, 2"""
+
+
+def matcher_label_index(seed: int) -> str:
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), _person_labels_cte(seed)) + """
+SELECT "Label" AS label, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, "Label") - 1 AS INTEGER) AS index
+FROM plabel GROUP BY "Label"
+"""
+
+
+def matcher_feature_index(features: list[str], most: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM feat" for f in features)
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), features_cte("rules")) + f"""
+, v AS (SELECT DISTINCT feature, value FROM ({rows}) WHERE value IS NOT NULL)
+, few AS (SELECT *, count(*) OVER (PARTITION BY feature) AS k FROM v)
+SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value <> 0, value) - 1 AS INTEGER) AS index
+FROM few WHERE k <= {most}"""
+
+
+def fixed_tree(seed: int, tree: str, labels: list[str], boosted: list[str] = (), weights: list[float] = ()) -> str:
+    cols = ", ".join(_L + _R)
+    names = "[" + ", ".join(f"'{x}'" for x in labels) + "]"
+    vote = " + ".join(f"{w!r} * {t}" for t, w in zip(boosted, weights))
+    extra = f", CASE WHEN {vote} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS boosted" if boosted else ""
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), _person_labels_cte(seed), features_cte("rules", "plabel")) + f"""
+, pred AS (SELECT {cols}, "Label", {names}[CAST({tree} AS INTEGER) + 1] AS "predictedLabel"{extra} FROM feat)
+"""
+
+
+FIXED_TREE_QUERIES = {
+    "errors": 'SELECT * FROM pred WHERE "Label" <> "predictedLabel"',
+    "accuracy": """SELECT round(avg(CASE WHEN "Label" = "predictedLabel" THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy, count(*) AS n,
+       round(1.0::DOUBLE - avg(CASE WHEN "Label" = "predictedLabel" THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS test_error FROM pred""",
+    "confusion": """SELECT g."predictedLabel", g."Label", coalesce(c.n, 0) AS n
+FROM (SELECT p AS "predictedLabel", l AS "Label" FROM (VALUES ('T'), ('F'), ('U')) a(p), (VALUES ('T'), ('F'), ('U')) b(l)) g
+LEFT JOIN (SELECT "predictedLabel", "Label", count(*) AS n FROM pred GROUP BY 1, 2) c USING ("predictedLabel", "Label")""",
+    "errors_sql": """SELECT "Label", "predictedLabel", count(*) AS n, min("Lastname") AS first_name FROM pred
+WHERE "Label" <> "predictedLabel" GROUP BY 1, 2""",
+}
+
+
+def people_joined_names() -> str:
+    return _with(PEOPLE_CTE) + """SELECT "Prefix" || ' ' || "Firstname" || ' ' || "Lastname" AS joined,
+       contains("Prefix", "Lastname") AS holds_last FROM persons"""
+
+
+def labelled_csv(seed: int) -> str:
+    cols = ", ".join(f"nullif({c}, '') AS {c}" for c in _L + _R)
+    return _with(PEOPLE_CTE, pairs_cte("one_or_two"), _person_labels_cte(seed)) + f'SELECT {cols}, "Label" FROM plabel'
+
+
+# ---------------------------------------------------------------- dumps
+def dump_commits() -> str:
+    return """
+SELECT CAST(event_id AS VARCHAR) AS _id, CAST(user_id AS VARCHAR) AS committer_id, epoch_ms(ts) AS committed_ms,
+       CASE WHEN event_id % 2 = 0 THEN 'say "' || event_type || '"' || chr(10) ELSE event_type END AS message,
+       CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END END AS n_file_actions
+FROM events WHERE event_id % 50 NOT IN (7, 9)"""
+
+
+def dump_dead_letters() -> str:
+    return """
+SELECT left('{"_id":"' || event_id || '","committer_id":' || user_id || ',"committer_date":"', 20) AS line, 'no document' AS reason
+FROM events WHERE event_id % 50 = 7
+UNION ALL SELECT '{"message":"' || event_type || '"}', 'no id' FROM events WHERE event_id % 50 = 9"""
+
+
+def dump_file_actions() -> str:
+    return """
+WITH a AS (
+  SELECT 'a' || event_id AS _id, event_id, props, user_id FROM events
+  UNION ALL SELECT 'b' || event_id, event_id, props, user_id FROM events WHERE event_id % 6 = 0)
+SELECT _id, CAST(event_id AS VARCHAR) AS commit_id,
+       CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 10 + user_id % 10 AS VARCHAR) AS file_id
+FROM a"""
+
+
+def entity_states_registry() -> str:
+    return """SELECT l_orderkey * 8 + l_linenumber AS _id, l_orderkey AS commit_id, l_partkey AS file_id, l_extendedprice AS "LOC",
+       l_quantity AS "WMC", l_tax AS "CBO", l_discount AS "NOM" FROM lineitem"""
+
+
+# ---------------------------------------------------------------- regression
+_GLM_COLS = ['CAST("LOC" AS DECIMAL(38,6))', 'CAST("WMC" AS DECIMAL(38,6))', 'CAST("CBO" AS DECIMAL(38,6))']
+
+
+def size_regression_fit(fraction: float, seed: int) -> str:
+    u = hash_unit_sql(_GLM_COLS, seed)
+    f = lambda c: f"printf('%.5e', {c}) AS {c}"
+    return _with(ENTITY_CTE) + f"""
+, train AS (SELECT "LOC" AS y, "WMC" AS x1, "CBO" AS x2 FROM ces WHERE ce_type = 'class' AND {u} < {fraction})
+, s AS (SELECT count(*) AS n, count(*) * var_pop(x1) AS s11, count(*) * var_pop(x2) AS s22, count(*) * covar_pop(x1, x2) AS s12,
+               count(*) * covar_pop(x1, y) AS s1y, count(*) * covar_pop(x2, y) AS s2y, count(*) * var_pop(y) AS syy,
+               avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM train)
+, b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+               (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)
+, d AS (SELECT *, syy - b1 * s1y - b2 * s2y AS deviance FROM b)
+, v AS (SELECT *, deviance / (n - 3) AS dispersion FROM d)
+, t AS (
+  SELECT '(Intercept)' AS term, my - b1 * m1 - b2 * m2 AS estimate,
+         sqrt(dispersion * (1.0 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)) AS std_error, * FROM v
+  UNION ALL SELECT 'WMC', b1, sqrt(dispersion * s22 / det), * FROM v
+  UNION ALL SELECT 'CBO', b2, sqrt(dispersion * s11 / det), * FROM v)
+, o AS (SELECT term, n, n - 3 AS df_residual, estimate, std_error, estimate / std_error AS t_value, deviance, syy AS null_deviance, dispersion,
+               n * (ln(2 * pi() * deviance / n) + 1) + 2 + 6 AS aic FROM t)
+SELECT term, n, df_residual, {", ".join(map(f, ["estimate", "std_error", "t_value", "deviance", "null_deviance", "dispersion", "aic"]))} FROM o"""
+
+
+def size_regression_test_rows(fraction: float, seed: int) -> str:
+    u = hash_unit_sql(_GLM_COLS, seed)
+    return _with(ENTITY_CTE) + f"""
+, class AS (SELECT "LOC", "WMC", "CBO" FROM ces WHERE ce_type = 'class')
+SELECT * FROM class EXCEPT SELECT * FROM class WHERE {u} < {fraction}"""
+
+
+def defect_score_equations() -> str:
+    return _with(COMMIT_CTE, ENTITY_CTE) + f"""
+, rows AS (SELECT ces.*, CASE WHEN regexp_matches(message, '{BUGFIX_RE}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y
+           FROM ces JOIN commit_t ON ces.commit_id = commit_t._id WHERE ce_type = 'class' AND message IS NOT NULL)
+, s AS (SELECT '(Intercept)' AS term, avg(y) AS v FROM rows UNION ALL SELECT 'LOC', avg("LOC" * y) FROM rows
+        UNION ALL SELECT 'WMC', avg("WMC" * y) FROM rows UNION ALL SELECT 'CBO', avg("CBO" * y) FROM rows)
+SELECT term, printf('%.3e', v) AS observed, printf('%.3e', v) AS fitted FROM s"""

@@ -41,14 +41,13 @@ def build_session(master: str = "local[8]", app: str = "gitquarry",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names a shared (distributed file system) folder there and we
-    use it as is.  Only when the setting is absent *and* the master is
-    local (tests, benchmarks) do we create a scratch folder of our own; on
-    a cluster without the setting the answer is None, never a machine-local
-    folder.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Intermediate tables are written there, so it must be a folder that the
+    driver and all executors share.  Only when the setting is absent *and* the
+    master is local (tests, benchmarks), where every task runs on this machine, is a
+    folder of our own set; on a cluster without the setting this is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -57,14 +56,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            return None
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gitquarry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         delete_on_exit(spark, f"file://{configured}")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the
+    driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/gitquarry-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    return path
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have the driver's JVM remove ``path`` when it ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,29 +81,22 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
 def materialize(df, how: str | None):
     """Cut or keep a reused intermediate result.
 
-    ``"checkpoint"`` writes it to the shared folder named by
-    ``spark.checkpoint.dir`` (reliable: survives the loss of executors and
-    cuts the lineage; on a cluster without that setting the result is left
-    to exchange reuse instead); ``"table"`` does so by a Parquet table, which
-    computes the result once and goes when the driver's JVM ends;
-    ``"persist"`` caches it in memory and on
-    local disk (recomputed from lineage if an executor is lost); ``None``
-    leaves it to Spark's exchange reuse.
+    ``"table"`` writes it as a Parquet table to the shared folder named by
+    ``spark.checkpoint.dir``: computed once, a lost executor costs a read, and
+    it goes when the driver's JVM ends; ``"checkpoint"`` does so by Spark's
+    reliable checkpoint.  Both need that folder (see ``checkpoint_dir``).
+    ``"persist"`` caches it in memory and on local disk (recomputed from
+    lineage if an executor is lost); ``None`` leaves it to Spark's exchange
+    reuse.
     """
     if how is None:
         return df
     if how == "table":
-        spark = df.sparkSession
-        root = checkpoint_dir(spark)
-        if root is None:
-            return df
-        path = f"{root.rstrip('/')}/gitquarry-{uuid.uuid4().hex}"
+        path = scratch_path(df.sparkSession)
         df.write.parquet(path)
-        delete_on_exit(spark, path)
-        return spark.read.schema(df.schema).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
-        if checkpoint_dir(df.sparkSession) is None:
-            return df
+        checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     if how == "persist":
         from pyspark import StorageLevel

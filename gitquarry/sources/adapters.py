@@ -187,6 +187,39 @@ def code_entity_states(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def commit_lines(events: DataFrame) -> DataFrame:
+    """commit documents as JSON lines: by turns in the camel-case generation,
+    with ids and dates in extended form and the ids of the file actions, and
+    in the snake-case one.  Some lines are broken off and some lack an id."""
+    key = F.col("event_id").cast("string")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    oid = lambda c: F.named_struct(F.lit("$oid"), c)
+    actions = F.when(F.col("event_id") % 3 == 0, F.array(oid(F.concat(F.lit("a"), key)), oid(F.concat(F.lit("b"), key)))) \
+        .otherwise(F.array(oid(F.concat(F.lit("a"), key))))
+    camel = F.struct(oid(key).alias("_id"), oid(F.col("user_id").cast("string")).alias("committerId"),
+                     F.named_struct(F.lit("$date"), F.concat(stamp, F.lit("+0000"))).alias("committerDate"),
+                     F.concat(F.lit('say "'), "event_type", F.lit('"\n')).alias("message"), actions.alias("fileActionIds"))
+    snake = F.struct(key.alias("_id"), F.col("user_id").alias("committer_id"), F.concat(stamp, F.lit("Z")).alias("committer_date"),
+                     F.col("event_type").alias("message"))
+    no_id = F.struct(F.col("event_type").alias("message"))
+    line = F.when(F.col("event_id") % 50 == 7, F.substring(F.to_json(snake), 1, 20)).when(F.col("event_id") % 50 == 9, F.to_json(no_id)) \
+        .when(F.col("event_id") % 2 == 0, F.to_json(camel)).otherwise(F.to_json(snake))
+    return events.select(line.alias("line"))
+
+
+def file_action_lines(events: DataFrame) -> DataFrame:
+    """file_action documents: those of snake-case commits hold the commit's id,
+    the others are listed by it."""
+    key, even = F.col("event_id").cast("string"), F.col("event_id") % 2 == 0
+    file_id = (_file_key() + F.col("user_id") % 10).cast("string")
+    camel = lambda tag: F.struct(F.named_struct(F.lit("$oid"), F.concat(F.lit(tag), key)).alias("_id"),
+                                 F.named_struct(F.lit("$oid"), file_id).alias("fileId"), F.lit("M").alias("mode"))
+    snake = F.struct(F.concat(F.lit("a"), key).alias("_id"), key.alias("commit_id"), file_id.alias("file_id"), F.lit("M").alias("mode"))
+    own = F.when(~even, F.array(F.to_json(snake))).when(F.col("event_id") % 3 == 0, F.array(F.to_json(camel("a")), F.to_json(camel("b")))) \
+        .otherwise(F.array(F.to_json(camel("a"))))
+    return events.select(F.explode(own).alias("line"))
+
+
 class RepoTables:
     """All logical tables of one scale-factor folder, derived lazily."""
 

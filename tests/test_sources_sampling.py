@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gitquarry.operators.sampling import balanced_sample, except_distinct, hash_split
-from gitquarry.sources.catalog import (COMMIT_DUMP_SCHEMA, FILE_ACTION_DUMP_SCHEMA, explode_child_keys,
-                                       load_logical, read_document_dump, read_pairs_csv, write_csv)
+from gitquarry.plans.jobs import developer_activities
+from gitquarry.session import checkpoint_dir
+from gitquarry.sources.catalog import (COMMIT_DUMP_SCHEMA, FILE_ACTION_DUMP_SCHEMA, Catalog, explode_child_keys, load_logical,
+                                       parse_documents, read_document_dump, read_pairs_csv, registry_table, write_csv)
 from gitquarry.sources import adapters
 
 
@@ -125,3 +127,79 @@ def test_unknown_metrics_are_an_error_and_all_known_ones_stay(spark):
     registry["code_entity_state"].remove(("metrics.deep.DIT", kind))
     flat = load_logical(df.withColumn("metrics", F.col("metrics").dropFields("deep")), "code_entity_state", wanted, registry)
     assert struct_to_features(flat, "metrics").first().features.size == 3
+
+
+CAMEL = [
+    '{"_id":{"$oid":"c1"},"committerId":{"$oid":"p1"},"committerDate":{"$date":"2024-01-05T10:00:00.000+0000"},"message":"fix \\"a\\"",'
+    '"fileActionIds":[{"$oid":"f1"},{"$oid":"f2"}],"parents":["x","y"],"authorOffset":-60}',
+    '{"_id":"c2","committer_id":"p2","committer_date":"2024-02-05T10:00:00Z","message":null}',
+    '{"_id":{"$oid":"c3"},"committerId":7,"extra":{"a":1}}', "", "   ", '{"_id":"broken', "[1, 2]", "17", '{"message":"no id"}']
+
+
+def test_both_generations_become_one_schema(spark):
+    docs, dead = parse_documents(spark.createDataFrame([(x,) for x in CAMEL], "line string"), "commit")
+    got = {r._id: r for r in docs.collect()}
+    assert set(got) == {"c1", "c2", "c3"}
+    assert got["c1"].committer_id == "p1" and got["c1"].message == 'fix "a"' and got["c1"].file_action_ids == ["f1", "f2"]
+    assert got["c1"].parents == ["x", "y"] and got["c1"].author_offset == -60 and str(got["c1"].committer_date) == "2024-01-05 10:00:00"
+    assert got["c2"].committer_id == "p2" and str(got["c2"].committer_date) == "2024-02-05 10:00:00" and got["c2"].message is None
+    assert got["c3"].committer_id == "7" and got["c3"].committer_date is None and got["c3"].file_action_ids is None
+    assert sorted((r.line, r.reason) for r in dead.collect()) == sorted(
+        [('{"_id":"broken', "no document"), ("[1, 2]", "no document"), ("17", "no document"), ('{"message":"no id"}', "no id")])
+
+
+def test_jobs_run_on_dumps(spark, tmp_path):
+    (tmp_path / "commit.json").write_text("\n".join(CAMEL))
+    (tmp_path / "file_action.json").write_text("\n".join([
+        '{"_id":{"$oid":"f1"},"fileId":{"$oid":"x"},"hunkIds":[{"$oid":"h1"}]}', '{"_id":{"$oid":"f2"},"fileId":{"$oid":"y"},"hunkIds":[]}',
+        '{"_id":"f3","file_id":"x","commit_id":"c2"}', "{"]))
+    (tmp_path / "hunk.json").write_text('{"_id":{"$oid":"h1"},"newStart":3}\n{"_id":"h2","file_action_id":"f3","new_start":4}')
+    (tmp_path / "message.json").write_text('{"_id":{"$oid":"m1"},"fromId":{"$oid":"p1"},"date":{"$date":"2024-01-09T00:00:00.000+0000"}}')
+    (tmp_path / "issue_comment.json").write_text('{"_id":"i1","author_id":"p2","created_at":"2024-02-09T00:00:00Z"}')
+    cat = Catalog(spark, str(tmp_path), fmt="dump")
+    assert sorted((r._id, r.commit_id, r.file_id) for r in cat.load("file_action").collect()) == [("f1", "c1", "x"), ("f2", "c1", "y"), ("f3", "c2", "x")]
+    assert sorted((r._id, r.file_action_id, r.new_start) for r in cat.load("hunk").collect()) == [("h1", "f1", 3), ("h2", "f3", 4)]
+    assert [r.reason for r in cat.dead_letters("file_action").collect()] == ["no document"]
+    got = {tuple(r[c] for c in ("Date", "ID", "messages", "comments", "commits", "bug_fix")) for r in developer_activities(cat).collect()}
+    # a commit without a date matches nothing, not even its own flag's count
+    assert got == {("2024-01", "p1", 1, None, 1, 1), ("2024-02", "p2", None, 1, 1, 1), (None, "7", None, None, 1, None),
+                   (None, "7", None, None, None, 1)}
+
+
+def test_registry_as_a_table(spark, tmp_path):
+    registry_table(spark).write.parquet(f"{tmp_path}/logical_type.parquet")
+    registry = Catalog(spark, str(tmp_path)).load("logical_type")
+    states = spark.createDataFrame([(1, 2, 3, "class", "n", (1.0, 2.0, 3.0, 4.0))],
+                                   "_id int, commit_id int, file_id int, ce_type string, long_name string, metrics struct<LOC:double,WMC:double,CBO:double,NOM:double>")
+    for wanted in ([["RID"]], [["ProductMetric"]], [["ProductMetric", "JavaMethod"], ["Name"]]):
+        assert load_logical(states, "code_entity_state", wanted, registry).schema == load_logical(states, "code_entity_state", wanted).schema
+    with pytest.raises(KeyError):
+        load_logical(states, "other", [["RID"]], registry)
+
+
+def test_a_cluster_needs_the_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+        def getCheckpointDir(self):
+            return self
+
+        def sc(self):
+            return self
+
+    class Context:
+        master, _jsc = "yarn", Nothing()
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
