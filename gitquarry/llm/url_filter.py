@@ -15,9 +15,14 @@ Tokens: scheme, host labels (with their distance from the right end), path
 segments with digits made ``0``, file endings, names of query fields, and
 whether there is a fragment.
 
-Scale: FP-growth mines over all labelled urls in parallel.  How many token
-sets reach the support does not depend on the number of urls, but doubles with
-each token that a group of that size has in common.  Rules are pruned and
+Tokens that occur in exactly the same labelled urls are one item for the
+mining: sets that differ in such tokens have the same counts, so of their rules
+pruning leaves those with one token of the class.  A mined rule over a
+class stands for these rules, one for each of its tokens.
+
+Scale: FP-growth mines over all labelled urls in parallel.  How many sets
+reach the support does not depend on the number of urls; tokens that always
+go together, as the query fields of one site do, count as one.  Rules are pruned and
 looked up by equi-joins, so neither they nor the index need fit one machine;
 Spark broadcasts a small index by itself, and then urls are not shuffled for
 it.  Matches are reduced per url.  Hosts are no key of any shuffle.
@@ -101,6 +106,21 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", F.array_distinct(found)).otherwise(none)
 
 
+def equal_tokens(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, item): ``item`` is the first of the tokens that occur in
+    exactly the same rows of ``labelled`` (row, tokens), for tokens that reach the support.
+
+    Two tokens occur in the same rows if their counts and two sums of hashes
+    of the rows' ids (128 bits) are equal.  Tokens of one class stand together in one url, so
+    a class is no longer than a url."""
+    least = min_support * labelled.count()
+    sums = [F.sum(F.xxhash64("row", F.lit(seed)).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    listed = (labelled.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *sums)
+              .where(F.col("n") >= least))
+    return (listed.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+            .select(F.explode("tokens").alias("token"), "item"))
+
+
 def _under_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
     """(token, mined): each rule under its rarest token; counts: (token, count)."""
     listed = (rules.withColumn("token", F.explode("tokens")).join(counts, "token")
@@ -154,14 +174,24 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     if labelled.select("verdict").distinct().count() < 2:
         return rows.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", F.lit("allow")).alias("verdict"),
                            F.lit(None).cast("array<string>").alias("mined_tokens"), F.lit(None).cast("double").alias("confidence"))
-    mined = mine(labelled, min_support, min_confidence, max_tokens, max_rules)
+    # rows are told apart by an id that is fixed by storing them
+    labelled = stored(labelled.withColumn("row", F.monotonically_increasing_id()))
+    classes = stored(equal_tokens(labelled, min_support))
+    classed = stored(labelled.select("row", "verdict", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+                     .groupBy("row", "verdict").agg(F.collect_set("item").alias("tokens")))
+    mined = mine(classed.select("tokens", "verdict"), min_support, min_confidence, max_tokens, max_rules)
     # each mined rule stands in the index under its rarest token
-    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    counts = classed.select(F.explode("tokens").alias("token")).groupBy("token").count()
     index = stored(_under_rarest(mined, counts))
-    open_rows = rows.where("fixed IS NULL").select("page_id", "url", "tokens")
-    best = (open_rows.select("*", F.explode("tokens").alias("token")).join(index, "token")
-            .where(F.size(F.array_except("mined.body", "tokens")) == 0)
-            .groupBy("page_id", "url").agg(F.max("mined").alias("best"))
+    # any token of a class stands for the class; the last one that the url has is the rule's token
+    open_rows = (rows.where("fixed IS NULL").select("page_id", "url", F.explode("tokens").alias("token")).join(classes, "token")
+                 .groupBy("page_id", "url", "item").agg(F.max("token").alias("token"))
+                 .groupBy("page_id", "url").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("own")))
+    written = F.struct(F.col("mined.confidence").alias("confidence"), F.col("mined.support").alias("support"),
+                       F.array_sort(F.transform("mined.body", lambda x: F.col("own")[x])).alias("body"), F.col("mined.verdict").alias("verdict"))
+    best = (open_rows.select("*", F.explode(F.map_keys("own")).alias("token")).join(index, "token")
+            .where(F.size(F.array_except("mined.body", F.map_keys("own"))) == 0)
+            .groupBy("page_id", "url").agg(F.max(written).alias("best"))
             .select(F.col("page_id").alias("best_id"), F.col("url").alias("best_url"), "best"))
     same = rows["page_id"].eqNullSafe(best["best_id"]) & (rows["url"] == best["best_url"])
     return rows.join(best, same, "left").select(

@@ -221,5 +221,25 @@ def test_mined_rules_decide(spark):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_tokens_of_the_same_rows_are_mined_as_one(spark):
+    """Forty query fields that always go together would give 2 ** 40 sets."""
+    r = random.Random(19)
+    fields = "&".join(f"f{c}{d}={r.randrange(9)}" for c in "abcdefgh" for d in "ABCDE")
+    urls = [f"http://shop.net/en/{i}?{fields}" for i in range(60)] + [f"http://x{i}.org/fr/a" for i in range(200)]
+    urls += [f"http://y{i}.info/shop?{fields}" for i in range(5)] + ["http://z.info/?fcC=1&other=2", "http://z.info/plain", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.judge(pages).collect()}
+    assert all(got[i].rule == "net/" for i in range(60)) and all(got[i].rule == "org/fr/" for i in range(60, 260))
+    assert all(got[i].verdict == "block" and got[i].mined_tokens == ["field=fhe"] for i in range(260, 265))
+    assert got[265].verdict == "block" and got[265].mined_tokens == ["field=fcc"]  # one token of the class is enough
+    assert got[266].verdict == got[267].verdict == "allow" and got[266].mined_tokens is None
+
+
+def test_equal_tokens(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"]), (3, ["a", "b", "d"]), (4, [])], "row long, tokens array<string>")
+    assert {(x.token, x.item) for x in url_filter.equal_tokens(rows, 0.2).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+    assert {x.token for x in url_filter.equal_tokens(rows, 0.3).collect()} == {"a", "b"}
