@@ -38,6 +38,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context", "shape")
 THRESHOLD = 0.9
 _ROUNDS = 50
+#: Accuracies on what is not personal data and on what is that each labeler starts from, and as of how many spans.
+_PRIOR = ((0.9, 0.8), (0.7, 0.7), (0.7, 0.7), (0.7, 0.7))
+_PRIOR_SPANS = 4.0
 
 # The base patterns, written so that a search is linear: a match starts at the start of a run of its
 # first characters, or where the match before it ended.
@@ -146,32 +149,32 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def reliabilities(votes: list[tuple[str, list[int], int]]) -> dict:
     """Expectation-maximisation over (kind, votes, how often): each kind's
-    share of personal data, and each labeler's accuracy on spans that are
-    personal data and on those that are not."""
+    share of personal data, and for each kind each labeler's accuracy on
+    spans that are personal data and on those that are not."""
     kinds = sorted({k for k, _, _ in votes})
     share = {k: 0.5 for k in kinds}
-    right = [[0.7, 0.7] for _ in LABELERS]  # on what is not, and on what is
+    right = {k: [list(p) for p in _PRIOR] for k in kinds}  # on what is not, and on what is
     for _ in range(_ROUNDS):
-        sums = {k: [1e-9, 2e-9] for k in kinds}
-        hits = [[[1.0, 2.0], [1.0, 2.0]] for _ in LABELERS]
+        sums = {k: [1.0, 2.0] for k in kinds}
+        hits = {k: [[[p * _PRIOR_SPANS, _PRIOR_SPANS] for p in labeler] for labeler in _PRIOR] for k in kinds}
         for kind, row, n in votes:
             p = posterior(kind, row, share, right)
             sums[kind][0] += n * p
             sums[kind][1] += n
             for j, vote in enumerate(row):
                 if vote:
-                    hits[j][1][0] += n * p * (vote > 0)
-                    hits[j][1][1] += n * p
-                    hits[j][0][0] += n * (1 - p) * (vote < 0)
-                    hits[j][0][1] += n * (1 - p)
+                    hits[kind][j][1][0] += n * p * (vote > 0)
+                    hits[kind][j][1][1] += n * p
+                    hits[kind][j][0][0] += n * (1 - p) * (vote < 0)
+                    hits[kind][j][0][1] += n * (1 - p)
         share = {k: min(max(a / b, 0.01), 0.99) for k, (a, b) in sums.items()}
-        right = [[min(max(a / b, 0.05), 0.95) for a, b in h] for h in hits]
+        right = {k: [[min(max(a / b, 0.05), 0.95) for a, b in h] for h in own] for k, own in hits.items()}
     return {"share": share, "right": right}
 
 
-def posterior(kind: str, row: list[int], share: dict, right: list) -> float:
+def posterior(kind: str, row: list[int], share: dict, right: dict) -> float:
     odds = math.log(share[kind] / (1 - share[kind]))
-    for vote, (no, yes) in zip(row, right, strict=True):
+    for vote, (no, yes) in zip(row, right[kind], strict=True):
         odds += math.log(yes / (1 - no)) if vote > 0 else math.log((1 - yes) / no) if vote < 0 else 0.0
     return 1 / (1 + math.exp(-odds))
 
@@ -180,17 +183,18 @@ def _probability(s: Column, model: dict) -> Column:
     """The posterior as a column."""
     odds = F.lit(0.0)
     for kind, p in model["share"].items():
-        odds = odds + F.when(s["kind"] == kind, F.lit(math.log(p / (1 - p)))).otherwise(0.0)
-    for j, (no, yes) in enumerate(model["right"]):
-        vote = s["votes"][j]
-        odds = odds + F.when(vote > 0, F.lit(math.log(yes / (1 - no)))).when(vote < 0, F.lit(math.log((1 - yes) / no))).otherwise(0.0)
+        own = F.lit(math.log(p / (1 - p)))
+        for j, (no, yes) in enumerate(model["right"][kind]):
+            vote = s["votes"][j]
+            own = own + F.when(vote > 0, F.lit(math.log(yes / (1 - no)))).when(vote < 0, F.lit(math.log((1 - yes) / no))).otherwise(0.0)
+        odds = odds + F.when(s["kind"] == kind, own).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
 def _features(s: Column) -> list[Column]:
     flags = [s["kind"] == k for k in KINDS] + [s["wide"], s["parted"], s["apart"]]
     flags += [s["length"] == i for i in range(6)] + [s["digits"] == i for i in range(6)]
-    flags += [s["votes"][j] == v for j in (1, 2, 3) for v in (1, -1)]  # all but the regex labeler, which knows only the base patterns
+    flags += [s["votes"][j] == v for j in range(len(LABELERS)) for v in (1, -1)]
     return [f.cast("double") for f in flags]
 
 
@@ -231,7 +235,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         for w, x in zip(weights[1:], _features(s), strict=True):
             odds = odds + w * x
         free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return (1 / (1 + F.exp(-odds)) >= threshold) & ~s["base"] & free
+        checked = s["votes"][0] >= 0  # the regex labeler votes against what fails its kind's checks
+        return (1 / (1 + F.exp(-odds)) >= threshold) & ~s["base"] & checked & free
     base = F.array_sort(F.transform(F.filter("found", lambda s: s["base"]), placed))
     rows = found.select("doc_id", "found", base.alias("base"))
     more = F.transform(F.filter("found", added), placed)

@@ -142,10 +142,28 @@ def test_reliabilities_find_the_better_labelers():
         y = r.random() < 0.4
         rows["card", tuple((1 if y == (r.random() < p) else -1) if r.random() < q else 0 for p, q in ((0.95, 1), (0.85, 0.9), (0.55, 0.8), (0.8, 0.7)))] += 1
     model = pii.reliabilities([(k, list(v), n) for (k, v), n in rows.items()])
-    accuracy = [sum(x) / 2 for x in model["right"]]
+    accuracy = [sum(x) / 2 for x in model["right"]["card"]]
     assert accuracy[0] > accuracy[1] > accuracy[2] and abs(accuracy[0] - 0.95) < 0.06 and abs(model["share"]["card"] - 0.4) < 0.06
 
 
+def test_added_spans(spark):
+    """Obfuscated addresses and bare phone numbers are added; numbers that
+    fail their kind's checks never are, however many valid ones are like them."""
+    r = random.Random(17)
+    found = [f"version 1.2.{i % 7}.{i} here" for i in range(300)] + [f"login from address 10{i % 9}.2.3.{i % 200} now" for i in range(100)]
+    found += [f"write to joe{i} [at] mail{i % 9} [dot] com please" for i in range(150)] + [f"contact ann{i}@mail.com please" for i in range(150)]
+    found += [f"phone 803-555-{1000 + i} today" for i in range(150)] + [f"call +1 803 555 {1000 + i} today" for i in range(150)]
+    found += [f"card {r.randrange(10 ** 15, 10 ** 16)} used" for i in range(100)]
+    df, _ = documents(spark, found, nulls=False)
+    out = {r.text: r for r in pii.find(df, id_col="text").select("base", "spans", F.col("doc_id").alias("text")).collect()}
+    added = {t: [t[s.start:s.end] for s in x.spans if s not in x.base] for t, x in out.items()}
+    ok = {t: [t[s.start:s.end] for s in x.base] for t, x in out.items()}
+    assert all(added[t] == [] for t in found if t.startswith(("version", "login", "contact", "call", "card")))
+    assert all(ok[t] == [] for t in found if t.startswith("version") and int(t.split(".")[3].split()[0]) > 255)
+    assert sum(added[t] == [" ".join(t.split()[2:-1])] for t in found if t.startswith("write")) >= 145
+    assert sum(added[t] == [t.split()[1]] for t in found if t.startswith("phone")) >= 145
+
+
 URLS = ["https://a.Example.NET/en/x.html?q=1#t", "http://example.net/de/", "http://net/x", "http://xnet/x", "https://b.org/fr/1", "https://b.org/fr", "HTTP://Example.com/de/9?A=b",
         "http://example.com/en/", "https://c.example.com", "https://example.net", "no scheme", "", None, "://", "http://a.net?x://y/z", "x://e.net/en/\nfr", "http://user@e.org:80/fr/",
         "http://İ.net/", "https://b.org/fr/1"]
