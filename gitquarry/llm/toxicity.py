@@ -17,8 +17,8 @@ not seen, gives the score.
 
 Bounds: ``max_rows`` labelled rows of each class at most are used (those with
 the smallest hashes of doc_id; all of a smaller class), a quarter of them for
-the curve, where each class weighs as much as among all labelled rows.  A model keeps ``max_ngrams`` words and bigrams at most, those that
-differ most clearly.  Hence the sample's ids and the model have fixed greatest
+the curve, where each class weighs as much as among all labelled rows.  A model of more than ``max_ngrams`` words or
+bigrams is an error; none is left out.  Hence the sample's ids and the model have fixed greatest
 sizes and are broadcast.  The shared counts are taken over all documents.
 
 Scale: the corpus counts are one partial aggregation over the words of all
@@ -43,11 +43,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gitquarry.llm.common import alnum_words, batches, run_hashes, signed, stored, text_keys, texts, word_hashes
 
 MAX_ROWS = 4000
-MAX_NGRAMS = 100_000
+MAX_NGRAMS = 1_000_000
 LEAST_Z = 4.0
 LEAST_RATIO = 2.7
 SPAN = 10
@@ -175,9 +176,13 @@ def _counts(df: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
 
 
 def _clear(counts: DataFrame, keys: list[str], least_z: float, least_ratio: float, max_ngrams: int) -> DataFrame:
-    """The n-grams for which the classes have counts of their own."""
+    """The n-grams for which the classes have counts of their own.  All of
+    them are used; more than a worker should hold are an error."""
     clear = counts.where((F.col("z") >= least_z) & (F.col("ratio") >= math.log(least_ratio)))
-    return stored(clear.orderBy(F.desc("z"), *keys).limit(max_ngrams).select(*keys, "toxic", "plain"))
+    clear = stored(clear.select(*keys, "toxic", "plain"))
+    if (n := clear.count()) > max_ngrams:
+        raise ValueError(f"{n} n-grams tell the classes apart, more than max_ngrams = {max_ngrams}: use fewer labelled rows or a larger least_z")
+    return clear
 
 
 def language_models(training: DataFrame, docs: DataFrame, text_col: str, least_z: float = LEAST_Z,
@@ -253,11 +258,11 @@ def held_out(column: Column) -> Column:
 def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below the threshold."""
     a, b, c = model.curve
-    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def below(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            ratios = _ratios(model, texts(batch.column(at)))
+            ratios = _ratios(model, texts(batch.column(1)))
             score = 1 / (1 + np.exp(-np.clip(a + b * ratios[:, 0] + c * ratios[:, 1], -500, 500)))
-            yield batch.filter(pa.array(score < threshold))
-    return docs.mapInArrow(below, docs.schema)
+            yield batch.select([0]).filter(pa.array(score < threshold))
+    return rows.mapInArrow(below, T.StructType([rows.schema["row"]])).select("row.*")

@@ -212,3 +212,32 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert kept == {r[0] for r in slow_contamination(before, items) if not r[-1]}
         docs = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_pipeline_bears_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, and columns of other
+    names, one with a dot, go through all filter stages."""
+    rows, labels = toxic_corpus(spark, 300)
+    found = [t for _, t in rows] + [None, "", "\n"] + texts(13, 12)
+    found[len(found) // 2] = "a quiet text"  # also that of the row without a doc_id
+    df, _ = documents(spark, found, clashing=True)
+    df = df.withColumn("row.key", F.lit("x")).withColumn("text_2", F.col("text"))
+    spark.createDataFrame([(i * 3 % 1009, None, t) for i, t, _ in labels] + [(None, 1, 1), (7, None, None)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, " ".join(found[5].split()[:11]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = df
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        held = docs.collect()
+        assert held and all(r["row.key"] == "x" and r.text_2 == r.text for r in held)
+        if k == 0:  # a null text is no toxic one, and a null doc_id no reason to go
+            assert any(r.text is None for r in held) and any(r.doc_id is None for r in held)
+    assert sum(r.text is None or not r.text.strip() for r in held) >= 1
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in held}
+    docs = df.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
