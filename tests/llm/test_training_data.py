@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import math
 import random
 import zlib
 
@@ -16,7 +17,7 @@ from gitquarry.llm import packing, toxicity, warc
 from gitquarry.llm.queries import VOCABULARY
 from tests.llm.corpus import documents, texts, words
 from tests.llm.test_dedup import slow_fingerprint, slow_groups
-from tests.llm.test_scans import slow_contamination
+from tests.llm.test_scans import alnum, slow_contamination
 
 
 def test_piece_tokens_equal_the_tokenisers():
@@ -241,3 +242,87 @@ def test_pipeline_bears_odd_rows(spark, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+def slow_ratio(training, corpus, least_z, least_ratio, span):
+    """The two models written out over words: a function text -> (log ratio
+    per word, that of the most toxic ``span`` words)."""
+    triples = set()
+    for label, text in training:
+        w = [None, None, *alnum(text)]
+        triples |= {(label, *w[i:i + 3]) for i in range(len(w) - 2)}
+    seen = collections.Counter((label, left, word) for label, _, left, word in triples)
+
+    def table(counts):
+        """n-gram -> (toxic, ordinary) discounted, of those that differ clearly; totals of the classes"""
+        keys = {k for _, k in counts}
+        total = [max(1, sum(n for (label, _), n in counts.items() if label == c)) for c in (1, 0)]
+        cut = []
+        for c in (1, 0):
+            own = [n for (label, _), n in counts.items() if label == c]
+            cut.append(own.count(1) / (own.count(1) + 2 * own.count(2)) if own.count(1) else 0.5)
+        out = {}
+        for k in keys:
+            t, p = counts[1, k], counts[0, k]
+            share = (t + p) / sum(total)
+            z = (t / total[0] - p / total[1]) / math.sqrt(share * (1 - share) * (1 / total[0] + 1 / total[1]) + 1e-300)
+            apart = math.log((t + 0.5) / total[0] / ((p + 0.5) / total[1]))
+            if abs(z) >= least_z and abs(apart) >= math.log(least_ratio):
+                out[k] = max(t - cut[0], 0.0), max(p - cut[1], 0.0)
+        return out, total
+
+    words, total = table(collections.Counter((label, word) for label, _, word in seen))
+    pairs, _ = table(collections.Counter({(label, (left, word)): n for (label, left, word), n in seen.items()}))
+    held = collections.Counter(w for t in corpus for w in set(alnum(t)))
+    rest = [max(1 - sum(c[i] for c in words.values()) / total[i], 1e-6) for i in (0, 1)]
+
+    def of_word(w, i):
+        return words.get(w, (0, 0))[i] / total[i] + rest[i] * (held.get(w, 0.5) / sum(held.values()))
+
+    lefts = {}
+    for left in {left for left, _ in pairs}:
+        size = [max(1, sum(n for (label, x, _), n in seen.items() if (label, x) == (c, left))) for c in (1, 0)]
+        lefts[left] = size, [max(1 - sum(c[i] for (x, _), c in pairs.items() if x == left) / size[i], 1e-3) for i in (0, 1)]
+
+    def value(left, word):
+        if (left, word) in pairs:
+            size, own = lefts[left]
+            t, p = (pairs[left, word][i] / size[i] + own[i] * of_word(word, i) for i in (0, 1))
+            return math.log(t / p)
+        back = math.log(of_word(word, 0) / of_word(word, 1)) if word in words else math.log(rest[0] / rest[1])
+        return back + (math.log(lefts[left][1][0] / lefts[left][1][1]) if left in lefts else 0.0)
+
+    def ratio(text):
+        w = alnum(text)
+        v = [value(a, b) for a, b in zip([None, *w], w)]
+        n = min(span, len(v))
+        return (sum(v) / len(v), max(sum(v[i:i + n]) / n for i in range(len(v) - n + 1))) if v else (0.0, 0.0)
+    return ratio, len(words), len(pairs)
+
+
+@pytest.mark.parametrize("least_z, least_ratio", [(toxicity.LEAST_Z, toxicity.LEAST_RATIO), (1.5, 1.2)])
+def test_toxicity_scores_against_two_plain_models(spark, least_z, least_ratio):
+    r = random.Random(23)
+    rows = []
+    for i in range(260):
+        w = words(i, r.randrange(3, 60), 60)
+        if i % 3 == 0:
+            for _ in range(2):
+                at = r.randrange(len(w))
+                w[at:at] = r.choice([["you", "grumbl"], ["snarkle"], ["such", "a", "vexo"]])
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 220], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, least_z=least_z, least_ratio=least_ratio)
+    part = {x.doc_id: x.part for x in toxicity.training_rows(docs, labels, 10_000, "doc_id", "text", "toxic").collect()}
+    training = [(y, t) for i, t, y in rows if part.get(i, 3) != 3]
+    ratio, n_words, n_pairs = slow_ratio(training, [t for _, t, _ in rows], least_z, least_ratio, toxicity.SPAN)
+    assert n_words >= 2 and (least_z > 2 or n_pairs > 10)
+    a, b, c = model.curve
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    for i, t, _ in [*rows, (900, "", 0), (901, "", 0)]:
+        mean, peak = ratio(t)
+        assert got[i].ratio == pytest.approx(mean, abs=1e-9)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(a + b * mean + c * peak))), abs=1e-9)
+    with pytest.raises(ValueError):
+        toxicity.train(docs, labels, least_z=1.5, least_ratio=1.2, max_ngrams=1)
