@@ -78,6 +78,7 @@ def q_bug_inducing_pairs_per_hunk(spark: SparkSession, root: str) -> DataFrame:
     return inducing.fix_to_inducing(*_inducing_inputs(spark, root), match="per_hunk")
 
 
+# Fixed values of the jobs: the seeds 500 (labelling sample) and 42 (size regression, below).
 SAMPLE_SEED = 500
 BALANCE_SEED = 7
 PER_LABEL = 150

@@ -23,4 +23,4 @@ def test_no_cross_or_nested_loop_join(spark, name):
 def test_every_query_has_a_callable_and_oracles_are_a_subset():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
-    assert len(sql) >= 45
+    assert len(sql) >= 42
