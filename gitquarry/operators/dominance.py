@@ -72,7 +72,7 @@ def time_key(col, dtype: T.DataType) -> F.Column:
     return c
 
 
-def _sweep(n_group: int, n_qid: int):
+def _sweep(n_group: int):
     """Over the sorted rows (group columns, tk, is_q, id, query id columns)
     of one range."""
     def sweep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def latest_before_under(queries: DataFrame, preds: DataFrame, key: Sequence[str]
     rows = p.unionByName(q).repartitionByRange(*order).sortWithinPartitions(*order)
     types = {f.name: f.dataType for f in rows.schema.fields}
     one = T.StructType([T.StructField(c, types[c]) for c in own_qid])
-    swept = rows.mapInArrow(_sweep(len(group), len(qid)), T.StructType(
+    swept = rows.mapInArrow(_sweep(len(group)), T.StructType(
         [T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), *[T.StructField(g, types[g]) for g in group],
          T.StructField("tk", types["tk"]), T.StructField("id", types["id"]), T.StructField("q", one), T.StructField("qs", T.ArrayType(one))]))
 

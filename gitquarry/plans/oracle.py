@@ -458,7 +458,7 @@ def labelled_csv(seed: int) -> str:
 # ---------------------------------------------------------------- dumps
 def dump_commits() -> str:
     return """
-SELECT CAST(event_id AS VARCHAR) AS _id, CAST(user_id AS VARCHAR) AS committer_id, epoch_ms(ts) AS committed_ms,
+SELECT CAST(event_id AS VARCHAR) AS _id, CAST(user_id AS VARCHAR) AS committer_id, epoch_us(ts) // 1000 AS committed_ms,
        CASE WHEN event_id % 2 = 0 THEN 'say "' || event_type || '"' || chr(10) ELSE event_type END AS message,
        CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END END AS n_file_actions
 FROM events WHERE event_id % 50 NOT IN (7, 9)"""
