@@ -160,7 +160,7 @@ def _item_terms(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PLAN = "block long, text_keys array<long>, terms array<binary>, repeats array<long>, left array<long>, right array<long>, items array<array<long>>"
 
 
-def _mined(item_type: pa.DataType, schema: pa.Schema):
+def _mined(schema: pa.Schema):
     def mined(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         graph = mine([list(zip(r["terms"], r["repeats"], strict=True)) for r in rows])
@@ -187,7 +187,7 @@ def sharing_graphs(items: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFram
                        ("terms", pa.list_(pa.binary())), ("repeats", pa.list_(pa.int64())), ("left", pa.list_(pa.int64())),
                        ("right", pa.list_(pa.int64())), ("items", pa.list_(pa.list_(pa.int64())))])
     kind = _PLAN.replace("text_keys", f"item_ids array<{item_type}>, text_keys", 1)
-    return dealt.groupBy("block").applyInArrow(_mined(arrow.field("item_ids").type, arrow), kind)
+    return dealt.groupBy("block").applyInArrow(_mined(arrow), kind)
 
 
 def _arrow(simple: str) -> pa.DataType:
