@@ -32,6 +32,7 @@ ignored.  An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -45,13 +46,16 @@ from pyspark.sql import functions as F
 from gitquarry.llm.common import batches, stored, text_key, text_keys, texts, worker_state
 
 #: Characters of a text that is a leaf of the tree, and bytes of a piece that is one.
-LEAF, PIECE_LEAF = 2048, 128
+LEAF, PIECE_LEAF = 4096, 128
 #: Characters of a text that is encoded in one task.
 SEGMENT = 1 << 16
 #: A match depends on the text up to so many characters beyond its end, and from its start.
 #: Fixed by the pattern: a run of blanks looks two characters on, a contraction is three long.
 AHEAD, AT_LEAST = 2, 3
-_MOST_PIECES, _LONGEST_PIECE = 400_000, 48
+_MOST_PIECES, _MOST_PAIRS, _LONGEST_PIECE = 500_000, 50_000, 48
+#: Bytes of a piece whose pairs are all looked at before each merge.
+_FEW = 64
+_NO_RANK = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,23 +73,28 @@ class Part:
 
 
 class _Remembered(dict):
-    """Ids of short pieces, ``most`` of them."""
+    """Ids of short pieces, ``most`` of them at most: when half of them are
+    new, the older half goes, but for what has been used since."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, max(1, most // 2), {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece.encode())
         if len(piece) <= _LONGEST_PIECE:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = {}  # gone before the newer half is copied
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Codec:
@@ -102,6 +111,25 @@ class Codec:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids by merging the neighbours of lowest rank, the leftmost first."""
+        return self._merged_few(piece) if len(piece) <= _FEW else self._merged_many(piece)
+
+    def _merged_few(self, piece: bytes) -> list[int]:
+        """By looking at all pairs before each merge."""
+        get = self.ranks.get
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i:i + 2], _NO_RANK) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < _NO_RANK:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], _NO_RANK)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], _NO_RANK)
+        return [self.ranks[p] for p in parts]
+
+    def _merged_many(self, piece: bytes) -> list[int]:
+        """By a heap of pairs."""
         n, ranks = len(piece), self.ranks
         after, before, live = list(range(1, n + 2)), list(range(-1, n + 1)), bytearray(b"\1" * n)
         waiting = [(ranks[piece[i:i + 2]], i, i + 2) for i in range(n - 1) if piece[i:i + 2] in ranks]
@@ -124,7 +152,7 @@ class Codec:
         key = left, right
         known = self.stands.get(key)
         if known is None:
-            if len(self.stands) > _MOST_PIECES:
+            if len(self.stands) > _MOST_PAIRS:
                 self.stands.clear()
             known = self.stands[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -161,6 +189,10 @@ class Codec:
         found = list(map(self.pieces.__getitem__, self.pattern.findall(text)))
         return Part(b"".join(found), np.fromiter(map(len, found), np.int64, len(found)) // 4)
 
+    def ids_of(self, text: str) -> bytes:
+        """The ids alone."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))) if len(text) <= self.leaf else self.encode(text).ids
+
     def join(self, left: Part, right: Part) -> Part:
         """The text of ``left`` followed by that of ``right``."""
         if not len(left.sizes) or not len(right.sizes):
@@ -223,7 +255,7 @@ def _whole(path: str, pattern: str):
     def whole(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             codec = _codec(path, pattern)
-            ids = [codec.encode(t.decode()).ids for t in texts(batch.column(1))]
+            ids = [codec.ids_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
     return whole
 
