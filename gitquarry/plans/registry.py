@@ -13,7 +13,7 @@ from gitquarry.functions import text
 from gitquarry.operators import activity, identity, indexing, inducing, labels, models, regression, sampling, trees
 from gitquarry.operators.trees import Leaf, Split
 from gitquarry.plans import oracle
-from gitquarry.session import scratch_path
+from gitquarry.session import materialize, scratch_path
 from gitquarry.sources import adapters
 from gitquarry.sources.adapters import RepoTables
 from gitquarry.sources.catalog import (load_logical, parse_documents, preview, read_pairs_csv, registry_table, sql_with, with_parent_keys,
@@ -148,9 +148,14 @@ LABEL_SEED, SPLIT_SEED, TRAIN_FRACTION = 11, 90891, 0.67
 
 def _person_labelled(spark, root, kind=None):
     """Candidate pairs, with features of ``kind``, labelled by the person who
-    wrote the records, which no matcher sees."""
-    people = RepoTables(spark, root).people()
-    records = identity.normalize_people(people, keep=[F.expr("_id div 4").alias("person")])
+    wrote the records, which no matcher sees.  The records are read by the
+    pairs and twice by the labels, so they are derived once, into a table, by
+    as many tasks as there are cores however few splits the customers have.
+    Nulls are dropped on reading it: as a filter on the derived names it would
+    be pushed below the exchange and derive them there as well."""
+    customers = RepoTables(spark, root).t("customer").select("c_custkey", "c_name").hint("rebalance")
+    records = identity.normalize_people(adapters.people(customers), drop_null=False, keep=[F.expr("_id div 4").alias("person")])
+    records = materialize(records, "table").dropna(subset=identity.NAME_COLS)
     pairs = identity.candidate_pairs(records, "one_or_two", HOT_PAIRS)
     feats = pairs if kind is None else identity.pair_features(pairs, kind)
     return identity.person_label(feats, records, "person", LABEL_SEED)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gitquarry.operators import identity, indexing, models, regression, sampling, trees
 from gitquarry.operators.trees import Leaf, Split
+from gitquarry.plans import registry
+from gitquarry.sources import adapters
 
 
 def labelled(spark, n=600, seed=3):
@@ -136,3 +138,15 @@ def test_person_labels(spark):
     assert got == {("a", "b"): "T", ("b", "a"): "T", ("a", "c"): "F", ("c", "a"): "F", ("b", "c"): "F", ("c", "b"): "F"}
     assert {r.Label for r in identity.person_label(pairs, records, "person", uncertain=1).collect()} == {"U"}
     assert identity.person_label(pairs, records, "person", uncertain=0, wrong=1).where("Label = 'T'").count() == 4
+
+
+def test_records_are_derived_once(spark, tmp_path):
+    """The labelled pairs read the people from a table, not three times from the customers."""
+    customers = spark.createDataFrame([(k, f"c{k}") for k in [*range(200), *range(90, 100)]] + [(None, "x"), (3, None)], "c_custkey long, c_name string")
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    labelled_pairs = registry._person_labelled(spark, str(tmp_path))
+    plan = labelled_pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" not in plan
+    records = identity.normalize_people(adapters.people(customers), keep=[F.expr("_id div 4").alias("person")])
+    want = identity.person_label(identity.candidate_pairs(records, "one_or_two", 1000), records, "person", registry.LABEL_SEED)
+    assert sorted(map(tuple, labelled_pairs.collect())) == sorted(map(tuple, want.collect())) != []
