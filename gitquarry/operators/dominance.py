@@ -49,6 +49,13 @@ from pyspark.sql import types as T
 _ANSWERED, _OPEN, _LAST = 0, 1, 2
 
 
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions.  Given to an exchange it
+    keeps adaptive execution from merging them: it merges by the compressed
+    size, and short rows of numbers, sorted, take over ten times that in a task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def span_of(df: DataFrame, value_col: str) -> Column:
     """(lo, hi) of a column as a scalar subquery."""
     return df.agg(F.struct(F.min(value_col).cast("bigint").alias("lo"), F.max(value_col).cast("bigint").alias("hi"))).scalar()
@@ -169,7 +176,8 @@ def latest_before_under(queries: DataFrame, preds: DataFrame, key: Sequence[str]
                 "tk", F.lit(True).alias("is_q"), F.lit(None).cast(preds.schema[id_col].dataType).alias("id"), *own_qid)
 
     order = [*group, "tk", F.desc("is_q"), F.desc("id")]
-    rows = p.unionByName(q).repartitionByRange(*order).sortWithinPartitions(*order)
+    n = partitions(preds)
+    rows = p.unionByName(q).repartitionByRange(n, *order).sortWithinPartitions(*order)
     types = {f.name: f.dataType for f in rows.schema.fields}
     one = T.StructType([T.StructField(c, types[c]) for c in own_qid])
     swept = rows.mapInArrow(_sweep(len(group)), T.StructType(
@@ -178,7 +186,8 @@ def latest_before_under(queries: DataFrame, preds: DataFrame, key: Sequence[str]
 
     # answered queries have no group: they are spread by their id and see no other row
     spread = F.when(F.col("kind") == _ANSWERED, F.xxhash64("q"))
-    earlier = Window.partitionBy(*group, spread).orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    swept = swept.withColumn("spread", spread).repartition(n, *group, "spread")
+    earlier = Window.partitionBy(*group, "spread").orderBy("part", "kind").rowsBetween(Window.unboundedPreceding, -1)
     found = F.struct("tk", "id")
     handed_on = F.last(F.when(F.col("kind") == _LAST, found), ignorenulls=True).over(earlier)
     answers = swept.withColumn("found", F.when(F.col("kind") == _OPEN, handed_on).otherwise(found)).where(F.col("kind") != _LAST) \

@@ -35,19 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
-from gitquarry.operators.dominance import latest_before_under, span_of
+from gitquarry.operators.dominance import latest_before_under, partitions, span_of
 
 MATCH_MODES = ("first_hunk", "per_hunk")
 
 
 def hunk_rows(commits: DataFrame, file_actions: DataFrame, hunks: DataFrame,
               pattern: str = BUGFIX_PATTERN) -> DataFrame:
-    """commit x file_action x hunk, pruned to the columns the search needs."""
+    """commit x file_action x hunk, pruned to the columns the search needs,
+    partitioned by the commit: what is grouped by the commit and more needs no
+    other exchange."""
     c = commits.select(F.col("_id").alias("commit_id"), F.col("committer_date").alias("cdate"),
                        is_bugfix("message", pattern).alias("bugfix"))
     fa = file_actions.select(F.col("_id").alias("file_action_id"), "file_id", "commit_id")
     h = hunks.select("file_action_id", "new_start", "old_start", "old_lines")
-    return h.join(fa, "file_action_id").join(c, "commit_id")
+    return h.join(fa, "file_action_id").repartition(partitions(h), "commit_id").join(c, "commit_id")
 
 
 def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFrame:
@@ -60,7 +62,8 @@ def _fix_queries(rows: DataFrame, first_date: DataFrame, match: str) -> DataFram
         bound = own
     else:
         key = F.struct("file_action_id", "old_start", "old_lines")
-        # partial aggregate + join, not a window: a huge commit stays split
+        fixes = fixes.repartition(partitions(fixes), "commit_id")
+        # partial aggregate + join, not a window: no task holds the rows of a huge commit at once
         anchors = fixes.groupBy("commit_id") \
             .agg(F.min(F.when(F.col("old_start") != -1, key)).alias("anchor"))
         fixes = fixes.join(anchors, "commit_id")

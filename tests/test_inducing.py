@@ -95,6 +95,20 @@ def test_building_starts_no_job(spark):
     assert jobs_started(spark) > before
 
 
+def test_exchanges_before_the_large_sorts_are_not_merged(spark):
+    """Adaptive execution merges partitions by their compressed size, unless their number is given."""
+    commits, fas, hunks = _fixture(1)
+    cdf = spark.createDataFrame(commits, "_id long, committer_date timestamp, message string")
+    fdf = spark.createDataFrame(fas, "_id long, file_id long, commit_id long")
+    hdf = spark.createDataFrame(hunks, "file_action_id long, new_start int, old_start int, old_lines int")
+    with ranges(spark, 7):
+        plan = fix_to_inducing(cdf, fdf, hdf)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not any("REPARTITION_BY_COL" in e for e in exchanges)
+    assert any("rangepartitioning" in e and ", 7), REPARTITION_BY_NUM" in e for e in exchanges)
+    assert sum("hashpartitioning" in e and ", 7), REPARTITION_BY_NUM" in e for e in exchanges) >= 3
+
+
 @pytest.mark.parametrize("n", [1, 7, 60])
 def test_dominance_hot_key(spark, n):
     """One key holds most rows, times and ids tie, and long stretches of
