@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.ui.retainedJobs": "100000",  # what the status tracker remembers, without any web page
 }
 
 
