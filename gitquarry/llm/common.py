@@ -44,11 +44,15 @@ def fresh_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write ``df`` once as a table in a shared folder and read it from there:
     the lineage is cut, a lost executor costs a read only, and several
-    readers share one computation."""
+    readers share one computation.  ``files`` is for tables of bounded size
+    that many tasks have a few rows of: the rows are first dealt to so many
+    files at most.  (On a local folder without Hadoop's native library each
+    file costs the executor several ``chmod`` processes.)"""
     path = f"{fresh_folder(df.sparkSession)}/table"
+    df = df if files is None else df.repartition(files)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,9 @@ bigrams is an error; none is left out.  Hence the sample's ids and the model hav
 sizes and are broadcast.  The shared counts are taken over all documents.
 
 Scale: the corpus counts are one partial aggregation over the words of all
-documents; scoring is one pass without a shuffle.
+documents; scoring is one pass without a shuffle, and filtering sends each text
+to the workers once.  Tables of bounded size are stored in a fixed number of files,
+however many tasks read the documents.
 
 Defined cases: a null or empty text has ratio zero and gets the curve's value
 there.  Rows repeating a doc_id are scored each, and as labelled rows count
@@ -53,6 +55,7 @@ LEAST_Z = 4.0
 LEAST_RATIO = 2.7
 SPAN = 10
 THRESHOLD = 0.3
+TRAINING_FILES = 8
 _START = 0  # stands left of a text's first word
 
 
@@ -149,7 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     chosen = [rows.where(F.col("label") == label).orderBy("place", "doc_id").limit(max_rows) for label in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).withColumn("part", F.pmod("place", F.lit(4)))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(source.join(F.broadcast(sample), "doc_id").select("label", "doc_id", "text", "part"))
+    return stored(source.join(F.broadcast(sample), "doc_id").select("label", "doc_id", "text", "part"), TRAINING_FILES)
 
 
 def _arrays(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +182,7 @@ def _clear(counts: DataFrame, keys: list[str], least_z: float, least_ratio: floa
     """The n-grams for which the classes have counts of their own.  All of
     them are used; more than a worker should hold are an error."""
     clear = counts.where((F.col("z") >= least_z) & (F.col("ratio") >= math.log(least_ratio)))
-    clear = stored(clear.select(*keys, "toxic", "plain"))
+    clear = stored(clear.select(*keys, "toxic", "plain"), 1)
     if (n := clear.count()) > max_ngrams:
         raise ValueError(f"{n} n-grams tell the classes apart, more than max_ngrams = {max_ngrams}: use fewer labelled rows or a larger least_z")
     return clear
@@ -205,7 +208,7 @@ def language_models(training: DataFrame, docs: DataFrame, text_col: str, least_z
     share = F.coalesce("n", F.lit(0.5)) / held
     words = stored(needed.join(corpus, "word", "left").join(clear, "word", "left").select(
         "word", F.col("toxic").isNotNull().alias("own"),
-        *[(F.coalesce(c, F.lit(0.0)) / total[c] + rest[c] * share).alias(f"{c}_word") for c in ("toxic", "plain")]))
+        *[(F.coalesce(c, F.lit(0.0)) / total[c] + rest[c] * share).alias(f"{c}_word") for c in ("toxic", "plain")]), 1)
     word_ratios = _arrays(words.where("own").select("word", F.log(F.col("toxic_word") / F.col("plain_word")).alias("ratio")), "word")
     # and a bigram, whose left word is followed by clear bigrams
     of = lambda label: F.sum(F.when(F.col("label") == label, F.col("seen")).otherwise(0))
@@ -214,7 +217,7 @@ def language_models(training: DataFrame, docs: DataFrame, text_col: str, least_z
     cuts = clear_pairs.groupBy("left").agg(F.sum("toxic").alias("toxic_cut"), F.sum("plain").alias("plain_cut"))
     lefts = stored(sums.join(cuts, "left").select(
         "left", "toxic_total", "plain_total",
-        *[F.greatest(1 - F.col(f"{c}_cut") / F.col(f"{c}_total"), F.lit(1e-3)).alias(f"{c}_rest") for c in ("toxic", "plain")]))
+        *[F.greatest(1 - F.col(f"{c}_cut") / F.col(f"{c}_total"), F.lit(1e-3)).alias(f"{c}_rest") for c in ("toxic", "plain")]), 1)
     likely = [F.col(c) / F.col(f"{c}_total") + F.col(f"{c}_rest") * F.col(f"{c}_word") for c in ("toxic", "plain")]
     pair_ratios = _arrays(clear_pairs.join(lefts, "left").join(words, "word").select(
         "pair", F.log(likely[0] / likely[1]).alias("ratio")), "pair")
@@ -258,11 +261,13 @@ def held_out(column: Column) -> Column:
 def keep_below(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below the threshold."""
     a, b, c = model.curve
-    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+    names = docs.columns
+    at = names.index(text_col) if text_col in names else [name.lower() for name in names].index(text_col.lower())
 
     def below(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
-            ratios = _ratios(model, texts(batch.column(1)))
+            ratios = _ratios(model, texts(batch.column(0).field(at)))
             score = 1 / (1 + np.exp(-np.clip(a + b * ratios[:, 0] + c * ratios[:, 1], -500, 500)))
-            yield batch.select([0]).filter(pa.array(score < threshold))
+            yield batch.filter(pa.array(score < threshold))
     return rows.mapInArrow(below, T.StructType([rows.schema["row"]])).select("row.*")

@@ -179,6 +179,41 @@ def test_toxicity_takes_rows_of_each_class_by_itself(spark):
     assert abs(got - 0.1) < 0.01
 
 
+def test_toxicity_filter_sends_each_text_once(spark, monkeypatch):
+    model = toxicity.Model((np.array([]), np.array([])), (np.array([]), np.array([])), (np.array([]), np.array([])), 1.0, (-2.0, 2.0, 0.0))
+    rows = [(t, i, t) for i, t in enumerate(["a b", None, "", "c", "a b"])]
+    docs = spark.createDataFrame(rows, "`a.text` string, doc_id long, Text string").repartition(1)
+    sent, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: sent.append(self.dtypes) or plain(self, *a, **b))
+    kept = toxicity.keep_below(docs, model)
+    assert sent == [[("row", "struct<a.text:string,doc_id:bigint,Text:string>")]]
+    assert kept.dtypes == docs.dtypes and sorted(map(tuple, kept.collect()), key=lambda r: r[1]) == [rows[1], rows[2]]
+    monkeypatch.setattr(toxicity, "batches", lambda stream: (b.slice(at, 2) for b in stream for at in range(0, b.num_rows, 2)))
+    assert sorted(r.doc_id for r in toxicity.keep_below(docs, model).collect()) == [1, 2]
+
+
+def test_toxicity_stores_bounded_tables_in_few_files(spark, monkeypatch):
+    """However many tasks read the documents; what grows with them has files in proportion."""
+    rows, labels = toxic_corpus(spark, 400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    table = spark.createDataFrame([(i, t) for i, t, _ in labels], "doc_id long, toxic int")
+    files, plain = {}, toxicity.stored
+
+    def kept(df, *more):
+        out = plain(df, *more)
+        files.setdefault(tuple(out.columns), []).append(len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(toxicity, "stored", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        toxicity.train(docs, table, least_z=1.0, least_ratio=1.1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert files.pop(("label", "doc_id", "text", "part"))[0] <= toxicity.TRAINING_FILES
+    small = {k: v for k, v in files.items() if k not in (("label", "left", "word", "pair", "seen"), ("word", "n"))}
+    assert len(small) == 4 and all(n == [1] for n in small.values())
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     """Each stage against brute force on what its predecessor kept."""
     rows, labels = toxic_corpus(spark, 500)
