@@ -73,9 +73,9 @@ def _cut(block_bytes: int, hash_bits: int, with_bytes: bool):
 
 
 def numbered(distinct: DataFrame, columns: list[str]) -> DataFrame:
-    """Sort rows that are all different and number them in that order."""
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = distinct.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    """Sort rows that are all different and number them in that order.  The
+    number of ranges is left to adaptive execution, which merges small ones."""
+    ordered = distinct.repartitionByRange(*columns).sortWithinPartitions(*columns)
     return stored(ordered.withColumn("name", F.monotonically_increasing_id()))
 
 

@@ -158,3 +158,16 @@ def test_equal_windows_pick_equal_anchors():
             picked.setdefault(int(windows[f + i]), set()).add((h, o - i))
     assert sum(n.tolist()) == 281 and all(len(x) == 1 for x in picked.values())
     assert len(run_hashes(word_hashes(w), 301)) == 0
+
+
+def test_numbered_orders_rows_and_merges_small_ranges(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = exact_dedup.numbered(spark.range(5000).selectExpr("pmod(id * 7919, 50) AS left", "id AS right"), ["left", "right"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    found = sorted((r.name, r.left, r.right) for r in out.collect())
+    assert len({name for name, _, _ in found}) == 5000
+    assert [r[1:] for r in found] == sorted((i * 7919 % 50, i) for i in range(5000))
+    assert len(out.inputFiles()) < 10
