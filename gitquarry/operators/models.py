@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gitquarry.functions.text import BUGFIX_PATTERN, is_bugfix
 from gitquarry.operators.identity import PAIR_COLS
 from gitquarry.operators import trees
-from gitquarry.operators.sampling import balanced_sample, bernoulli_sample, except_distinct, random_split, rest_distinct
+from gitquarry.operators.sampling import balanced_sample, bernoulli_sample, except_distinct, hash_unit, random_split, rest_distinct
 from gitquarry.session import materialize
 from gitquarry.sources.catalog import load_logical
 
@@ -67,8 +67,17 @@ def accuracy(predictions: DataFrame, predicted_col: str = "predictedLabel",
 
 
 # ------------------------------------------------------------------ C10
-#: Rows of each label that a matcher is fitted on at most: a bound of the classifier.
-MAX_LABELLED = 20_000
+#: Labelled rows for each task of a matcher's fit, about.
+ROWS_A_TASK = 50_000
+
+
+def _dealt_by_hash(train: DataFrame, label_col: str, feature_cols: Sequence[str], seed: int, tasks: int) -> DataFrame:
+    """Label and features of all training rows, dealt out and ordered by
+    what is in them: the learner draws its candidate thresholds by a row's place, so
+    they don't hang on how the rows came in."""
+    seen = [F.col(f"`{c}`") for c in (label_col, *feature_cols)]
+    return train.select(*seen, hash_unit(PAIR_COLS, seed, train).alias("_u")) \
+        .repartition(max(1, tasks), "_u").sortWithinPartitions(seen[0], "_u", *seen[1:]).drop("_u")
 
 
 @dataclass
@@ -84,12 +93,12 @@ class MatcherResult:
 
 def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier: str = "gbt",
                   seed: int = 90891, train_fraction: float = 0.67, label_col: str = "Label",
-                  split: str = "hash", max_iter: int = 20, max_labelled: int = MAX_LABELLED) -> MatcherResult:
+                  split: str = "hash", max_iter: int = 20, max_labelled: int | None = None) -> MatcherResult:
     """M2-M9: assemble, index labels and features on all rows (as the
-    reference does), split, fit on the training part, score the rest.
+    reference does), split, fit on the whole training part, score the rest.
 
-    The fit takes at most ``max_labelled`` rows of each label of the training
-    part, those of smallest hash; scoring covers the whole test part.  The
+    Only a caller who gives ``max_labelled`` has the fit bounded, to that many rows of
+    each label, those of smallest hash; scoring covers the whole test part.  The
     fitted trees are compiled to a column over the features
     (``predicted_index``; see ``operators.trees``), which scores the test part; ``transformed`` scores rows by the
     learner's own classes, for comparison."""
@@ -102,7 +111,11 @@ def train_matcher(features: DataFrame, feature_cols: Sequence[str], classifier:
     label_idx = StringIndexer(inputCol=label_col, outputCol="indexedLabel").fit(data)
     feat_idx = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=10).fit(data)
     train, test = random_split(rows, [train_fraction, 1 - train_fraction], seed, method=split, cols=PAIR_COLS)
-    train = asm.transform(balanced_sample(train, label_col, max_labelled, seed, cols=PAIR_COLS))
+    if max_labelled is None:
+        train = _dealt_by_hash(train, label_col, feature_cols, seed, -(-rows.count() // ROWS_A_TASK))
+    else:
+        train = balanced_sample(train, label_col, max_labelled, seed, cols=PAIR_COLS)
+    train = asm.transform(train)
     learner = GBTClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures", maxIter=max_iter, seed=seed) if classifier == "gbt" \
         else DecisionTreeClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures", seed=seed)
     labels = list(label_idx.labels)

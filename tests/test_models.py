@@ -46,6 +46,28 @@ def test_fit_is_bounded(spark):
     assert few.predictions.count() == models.train_matcher(df, ["f1"], "tree").predictions.count()
 
 
+@pytest.mark.parametrize("kind", ["broad"])
+def test_fit_takes_the_whole_training_part(spark, kind):
+    """Where f1 is 1, 25,000 rows are T and 22,000 F; 35,000 more T are elsewhere, so that 20,000 of each label have mostly F there."""
+    features = identity.FEATURE_ORDER[kind]
+    i = F.col("id").cast("string")
+    df = spark.range(82_000).select(
+        *[F.concat(F.lit(x), i).alias(c) for x, c in zip("pflqgm", identity.PAIR_COLS)], F.when(F.col("id") < 60_000, "T").otherwise("F").alias("Label"),
+        *[((F.col("id") < 25_000) | (F.col("id") >= 60_000) if c == "f1" else F.lit(0)).cast("double").alias(c) for c in features])
+    out = models.train_matcher(df, features, "gbt", max_iter=1)
+    got = {(r.predictedLabel, r.Label): r.n for r in out.confusion.collect()}
+    assert got["T", "T"] > 19_000 and got["T", "F"] > 6_500
+    assert got["F", "F"] == got["F", "T"] == 0
+
+
+def test_fit_does_not_depend_on_the_layout(spark, monkeypatch):
+    df = labelled(spark, 24_000)
+    monkeypatch.setattr(models, "ROWS_A_TASK", 5_000)
+    fits = {models.train_matcher(df.repartition(n, c), ["f1", "PF-Jaccard", "c1"], "tree").predicted_index._jc.toString()
+            for n, c in ((1, "Prefix"), (3, "Lastname"), (8, "f1"))}
+    assert len(fits) == 1
+
+
 def test_tree_expression_and_sql_agree(spark):
     tree = Split("x", Split("y", Leaf(0.0), Leaf(2.0), values=(1.0, 3.0)), Leaf(1.0), threshold=0.5)
     df = spark.createDataFrame([(None, 1.0), (0.5, 3.0), (0.5, None), (0.6, 1.0), (float("nan"), 1.0), (-1.0, 2.0)], "x double, y double")
