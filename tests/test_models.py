@@ -46,7 +46,7 @@ def test_fit_is_bounded(spark):
     assert few.predictions.count() == models.train_matcher(df, ["f1"], "tree").predictions.count()
 
 
-@pytest.mark.parametrize("kind", ["broad"])
+@pytest.mark.parametrize("kind", ["broad", "simple"])
 def test_fit_takes_the_whole_training_part(spark, kind):
     """Where f1 is 1, 25,000 rows are T and 22,000 F; 35,000 more T are elsewhere, so that 20,000 of each label have mostly F there."""
     features = identity.FEATURE_ORDER[kind]
